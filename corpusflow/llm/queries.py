@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import language_id, packing, quality_classifier, quality_rules
+from corpusflow.llm import language_id, packing, quality_classifier, quality_rules, secrets, simhash_dedup
 from corpusflow.llm.common import fold, table
 
 
@@ -28,15 +28,27 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = secrets.train(secrets.random_strings(spark).unionByName(secrets.corpus_samples(docs)))
+    return secrets.scan(docs, models).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_packing": op7_packing,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
