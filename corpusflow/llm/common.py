@@ -33,6 +33,11 @@ def fold(id_col: str | Column, mod: int) -> Column:
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")) % F.lit(mod)
 
 
-def labelled_sample(docs: DataFrame, bound: int, *order: str) -> DataFrame:
-    """At most ``bound`` rows in the order of a hash of their id: a bounded sample for fitting, the same on every run."""
-    return docs.orderBy(F.xxhash64(*(F.col(c) for c in order)), *order).limit(bound)
+def sampled(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
+    """The rows of at most ``bound`` distinct ids, the first by a hash: a bounded sample for fitting, the same on every run.
+
+    Only ids are sorted; they are broadcast, as their number is bounded, and of
+    rows that share an id one is taken.
+    """
+    some = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return docs.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])

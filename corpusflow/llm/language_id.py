@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import labelled_sample
+from corpusflow.llm.common import sampled
 
 LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: labelled rows fitted on at most, and bytes of each that are used in fitting (scoring uses whole texts)
+    #: labelled rows fitted on at most, and characters of each that are used in fitting (scoring uses whole texts)
     sample: int = 2000
-    fit_bytes: int = 2000
+    fit_chars: int = 2000
     dims: int = 1 << 12
     bits: int = 15
     epochs: int = 150
@@ -91,7 +91,7 @@ def fit(rows: list[tuple[str, str]], s: Settings = Settings()) -> Model:
     w, b = np.zeros((s.dims, s.bits), np.float32), np.zeros(s.bits, np.float32)
     if not rows:
         return Model(langs, codes, w, b, 1.0, s.dims, s.margin)
-    x = np.stack([features(t[: s.fit_bytes], s.dims) for t, _ in rows])
+    x = np.stack([features(t[: s.fit_chars], s.dims) for t, _ in rows])
     y = codes[[langs.index(lang) for _, lang in rows]]
     # rare languages weigh as much as common ones
     _, inv, n = np.unique([lang for _, lang in rows], return_inverse=True, return_counts=True)
@@ -141,5 +141,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on a bounded sample of (doc_id, text, lang) rows with a language."""
-    rows = labelled_sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.substring("text", 1, s.fit_bytes).alias("text"), "lang"), s.sample, "doc_id").collect()
+    known = labelled.where("lang IS NOT NULL")
+    rows = sampled(known.select("doc_id", F.substring("text", 1, s.fit_chars).alias("text"), "lang"), known, s.sample).orderBy("doc_id").collect()
     return fit([(r.text, r.lang) for r in rows], s)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import html_extract, language_id, packing, quality_classifier, quality_rules, secrets, simhash_dedup
+from corpusflow.llm import decontaminate, html_extract, language_id, packing, quality_classifier, quality_rules, secrets, simhash_dedup
 from corpusflow.llm.common import fold, table
 
 
@@ -28,10 +28,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    model = quality_classifier.train(docs.join(labels, "doc_id"))
+    model = quality_classifier.train(docs, labels)
     return quality_classifier.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_decontaminate": op5_decontaminate,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
@@ -58,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
+    "op5_decontaminate": decontaminate.oracle(),
 }

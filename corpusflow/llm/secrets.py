@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.llm.common import sampled
+
 #: The base patterns, in the order of ties.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LIKELY = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
@@ -58,7 +60,7 @@ def random_strings(spark: SparkSession, s: Settings = Settings()) -> DataFrame:
 
 def corpus_samples(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """(value, label): values that the base patterns find are random strings, words without digits ordinary identifiers (as written, and in capitals)."""
-    some = docs.where(F.col(text).isNotNull()).select("doc_id", text).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
+    some = sampled(docs.select("doc_id", text), docs, s.sample)
     found = some.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{24,}\b"), F.lit(0))).alias("value")).withColumn("label", F.lit(1))
     words = some.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_]{4,}\b"), F.lit(0))).alias("value")).distinct()
     return found.unionByName(words.select(F.explode(F.array("value", F.upper("value"))).alias("value"), F.lit(0).alias("label")))
