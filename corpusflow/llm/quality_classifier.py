@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import labelled_sample
+from corpusflow.llm.common import sampled
 
 
 @dataclass(frozen=True)
@@ -110,11 +110,11 @@ def fit(good: list[str], bad: list[str], share: float, s: Settings = Settings())
     return m
 
 
-def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """Fits on (doc_id, text, quality) rows: a bounded sample of either label."""
-    rows = labelled.where("quality IN (0, 1) AND text IS NOT NULL AND text <> ''").select("doc_id", F.substring("text", 1, s.fit_chars).alias("text"), "quality")
-    n = {r.quality: r["count"] for r in labelled.where("quality IN (0, 1)").groupBy("quality").count().collect()}
-    xs = {q: [r.text for r in labelled_sample(rows.where(F.col("quality") == q), s.sample, "doc_id").collect()] for q in (1, 0)}
+def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """Fits on a bounded sample of either label: texts from ``docs``, (doc_id, quality) from ``labels``."""
+    n = {r.quality: r["count"] for r in labels.where("quality IN (0, 1)").groupBy("quality").count().collect()}
+    texts = docs.select("doc_id", F.substring("text", 1, s.fit_chars).alias("text")).where("text <> ''")
+    xs = {q: [r.text for r in sampled(texts, labels.where(F.col("quality") == q), s.sample).orderBy(F.xxhash64("doc_id")).collect()] for q in (1, 0)}
     total = sum(n.values())
     return fit(xs[1], xs[0], n.get(1, 0) / total if total else 0.5, s)
 
