@@ -52,8 +52,16 @@ def _shingles(words: str, k: int) -> str:
 
 
 def _simhash(h: str) -> str:
-    """SQL: bit b is set if it is set in over half of the hashes. Never null, so that Spark infers no filter that would compute it again."""
-    return f"coalesce(aggregate(sequence(0, 63), 0L, (a, b) -> a | CASE WHEN 2 * aggregate({h}, 0, (c, x) -> c + cast(shiftrightunsigned(x, b) & 1L AS int)) > size({h}) THEN shiftleft(1L, b) ELSE 0L END), 0L)"
+    """SQL: bit b is set if it is set in over half of the hashes.
+
+    Bits are counted four at a time, in 16-bit lanes of 16 sums; more hashes
+    than a lane can count are counted bit by bit. Never null, so that Spark
+    infers no filter that would compute it again.
+    """
+    lanes = f"transform(sequence(0, 15), b -> aggregate({h}, 0L, (c, x) -> c + (shiftrightunsigned(x, b) & 281479271743489L)))"
+    fast = f"aggregate(flatten(transform({lanes}, (c, b) -> transform(sequence(0, 3), k -> CASE WHEN 2 * (shiftrightunsigned(c, 16 * k) & 65535L) > size({h}) THEN shiftleft(1L, b + 16 * k) ELSE 0L END))), 0L, (a, x) -> a | x)"
+    slow = f"aggregate(sequence(0, 63), 0L, (a, b) -> a | CASE WHEN 2 * aggregate({h}, 0, (c, x) -> c + cast(shiftrightunsigned(x, b) & 1L AS int)) > size({h}) THEN shiftleft(1L, b) ELSE 0L END)"
+    return f"coalesce(CASE WHEN size({h}) < 65536 THEN {fast} ELSE {slow} END, 0L)"
 
 
 def _blocks(fp: str, radius: int) -> str:
@@ -97,20 +105,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), tex
         .withColumn("wh", F.expr(_hashes("win", s.shingle)))
         .withColumn("fp", F.expr(_simhash("wh")))
         .withColumn("b", F.expr(_blocks("fp", s.radius)))
+        .drop("wh")
+        # few rows: dealt out evenly, and fingerprints are not computed again for each block
+        .repartition("doc_id", "n", "start")
     )
     index = items.select("item_id", "n", "ifp", "ish", F.explode_outer(F.expr(_blocks("ifp", s.radius))).alias("x")).select("item_id", "n", "ifp", "ish", "x.*")
     index = F.broadcast(index) if small else index
     pairs = near.select("doc_id", "n", "start", "win", "fp", "b", F.posexplode_outer("b").alias("k", "x")).select("*", "x.v").join(index, ["n", "k", "v"])
     # a pair is taken at the first block that agrees
     first = F.expr(f"NOT exists(slice({_blocks('ifp', s.radius)}, 1, k), y -> b[y.k].v = y.v)")
-    pairs = pairs.where(first & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= s.radius))
+    pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= s.radius) & first)
     common = "aggregate(array_distinct(ish), 0, (a, g) -> a + least(size(filter(ish, y -> y = g)), size(filter(wsh, y -> y = g))))"
     scored = pairs.withColumn("wsh", F.expr(_shingles("win", s.shingle))).select("doc_id", "item_id", "n", "start", F.expr(common).alias("c"), F.expr("size(ish) + size(wsh)").alias("t"))
+    # the threshold is applied to each pair's best window, behind the aggregate: Spark would move it into the join and shingle anew for each comparison
     return (
-        scored.where(f"100 * c >= {s.least} * (t - c)")
-        .select("doc_id", "item_id", F.col("n").cast("long").alias("n_words"), F.struct(F.expr("c / (t - c)").alias("s"), F.expr("-start").alias("p")).alias("best"))
+        scored.select("doc_id", "item_id", F.col("n").cast("long").alias("n_words"), F.struct(F.expr("c / (t - c)").alias("s"), F.expr("-start").alias("p"), "c", "t").alias("best"))
         .groupBy("doc_id", "item_id", "n_words")
         .agg(F.max("best").alias("best"))
+        .where(f"100 * best.c >= {s.least} * (best.t - best.c)")
         .select("doc_id", "item_id", "n_words", (-F.col("best.p")).cast("long").alias("start_word"), F.round("best.s", 6).alias("similarity"))
     )
 
