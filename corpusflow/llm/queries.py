@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import decontaminate, html_extract, language_id, packing, quality_classifier, quality_rules, secrets, simhash_dedup
+from corpusflow.llm import decontaminate, html_extract, language_id, packing, quality_classifier, quality_rules, secrets, simhash_dedup, toxicity
 from corpusflow.llm.common import fold, table
 
 
@@ -50,6 +50,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, models).drop("found")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 4) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
