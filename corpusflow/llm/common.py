@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a Parquet table in the shared folder: smaller than a checkpoint, and read column by column."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the contracts' held-out folds."""
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")) % F.lit(mod)
