@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and predicted of every row from its whole text; ``keep``: further columns to pass on."""
     share = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select("doc_id", text, *keep)
+    docs = docs.select("doc_id", F.col(text).alias("_scored"), *keep)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kind}" for c, kind in docs.select(*keep).dtypes), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
