@@ -14,7 +14,8 @@ are ordered by most-significant-digit passes that stop there:
    each kind. Sorted outwards from the anchor, right sides and left sides give
    the depth to which they agree; windows in equal groups at their full depth
    are exactly the repeated ones. Buckets of over ``bucket`` contexts are not
-   gathered: there each window is hashed as a digit of its own and counted.
+   gathered: there the bytes that windows of a range of offsets share are the
+   next digit, and then each window that is left is a digit of its own.
 
 Counts are combined before every shuffle, and joins on anchors can be split.
 Copies of a text share one key, the text's hash, and one list of spans.
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,12 @@ from corpusflow.llm.common import stored
 @dataclass(frozen=True)
 class Settings:
     depth: int = 400
-    gram: int = 24
+    #: long enough that other texts seldom share an anchor without sharing more
+    gram: int = 64
     #: contexts of a bucket that one task gathers at most
-    bucket: int = 2000
+    bucket: int = 20_000
+    #: offsets of a range, by which larger buckets are told apart before their windows are
+    range: int = 48
     #: bytes of a text that are searched for anchors at once (at most 2**20); pieces overlap
     piece: int = 1 << 20
 
@@ -197,17 +202,58 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.
     yield emit()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Every window of a context as a digit: (ah, ch, n, o, w)."""
+def _ranges(s: Settings) -> list[tuple[int, int]]:
+    """Ranges of an anchor's offset in its window, first and last."""
+    return [(lo, min(lo + s.range, s.reach + 1) - 1) for lo in range(0, s.reach + 1, s.range)]
+
+
+def _core_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """For each range of offsets the bytes that all its windows share, as a digit: (ah, ch, n, r, w)."""
     for batch in batches:
+        rows = []
         for ah, ch, left, n, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            offs = [o for o in range(s.reach + 1) if o <= left and left - o + s.depth <= len(ctx)]
+            for r, (lo, hi) in enumerate(_ranges(s)):
+                if lo <= left and left + s.depth - hi <= len(ctx):
+                    w = xxhash.xxh3_64_intdigest(ctx[left - lo : left + s.depth - hi])
+                    rows.append((ah, ch, n, r, w - (1 << 64) if w >> 63 else w))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["ah", "ch", "n", "r", "w"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Every window of a context in ranges rs as a digit: (ah, ch, n, o, w)."""
+    ranges = _ranges(s)
+    for batch in batches:
+        for ah, ch, left, n, ctx, rs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            offs = [o for r in rs for o in range(ranges[r][0], ranges[r][1] + 1) if o <= left and left - o + s.depth <= len(ctx)]
             if offs:
                 w = np.array([xxhash.xxh3_64_intdigest(ctx[left - o : left - o + s.depth]) for o in offs], np.uint64).view(np.int64)
                 k = len(offs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, ah, np.int32)), pa.array(np.full(k, ch, np.int64)), pa.array(np.full(k, n, np.int64)), pa.array(np.array(offs, np.int32)), pa.array(w)], ["ah", "ch", "n", "o", "w"])
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before they are shuffled: (doc_id, th, z)."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([z.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "th", "z"])
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The contexts asked for of each text: (ah, ch, left, n, ctx, g)."""
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            rows = []
+            for raw, asked in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                raw = z.decompress(raw)
+                for x in asked:
+                    p = x["p"]
+                    rows.append((x["ah"], x["ch"], min(p, s.reach), x["n"], raw[max(0, p - s.reach) : p + s.depth], x["g"]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["ah", "ch", "left", "n", "ctx", "g"])
+
+
 def removed_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal removed runs and what is left."""
     runs: list[list[int]] = []
@@ -226,43 +272,66 @@ def removed_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, b
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc, text, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = (text or "").encode("utf-8", "replace")
+        for doc, packed, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = z.decompress(packed)
             n, k, kept = removed_bytes(raw, list(zip(a or (), b or (), strict=True)))
             rows.append((doc, len(raw), n, k, hashlib.sha256(kept).hexdigest()))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+
+
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    return _keyed(docs, text).mapInArrow(_small, "doc_id long, th long, z binary")
+
+
+def _contexts(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataFrame:
+    """(ah, ch, left, n, ctx): one context for each kind, cut from the text that stands for it."""
+    need = kinds.select("ah", "ch", "n", "g", "rep.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "n", "g", "p")).alias("x"))
+    texts = _packed(docs, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    return texts.join(need, ["doc_id", "th"]).select("z", "x").mapInArrow(lambda b: _context_rows(b, s), "ah int, ch long, left int, n long, ctx binary, g long").drop("g")
+
+
+def _gathered(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataFrame:
+    """Spans (ah, ch, a, b) from buckets that a task can hold."""
+    ctx = _contexts(docs, kinds, s, text)
+    return ctx.repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(lambda b: _bucket_rows(b, s), "ah int, ch long, a int, b int")
+
+
+def _counted(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataFrame:
+    """Spans (ah, ch, a, b) from larger buckets: digits are hashed where the contexts are and counted anywhere."""
+    big = stored(_contexts(docs, kinds, s, text))
+    cores = stored(big.mapInArrow(lambda b: _core_rows(b, s), "ah int, ch long, n long, r int, w long").distinct())
+    alike = cores.groupBy("ah", "r", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    live = cores.join(alike, ["ah", "r", "w"]).groupBy("ah", "ch").agg(F.collect_set("r").alias("rs"))
+    digits = stored(big.join(live, ["ah", "ch"]).select("ah", "ch", "left", "n", "ctx", "rs").mapInArrow(lambda b: _window_rows(b, s), "ah int, ch long, n long, o int, w long").distinct())
+    twice = digits.groupBy("ah", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    return digits.where("n = 1").join(twice, ["ah", "o", "w"]).select("ah", "ch", (-F.col("o")).alias("a"), (F.lit(s.depth) - F.col("o")).alias("b"))
+
+
 def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """(th, a, b): of each text, by its hash, lists of begins and ends of spans to remove; texts without any are left out."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    rows = stored(own.mapInArrow(lambda b: _anchor_rows(b, s), "ah int, ch long, doc_id long, th long, p int"))
+    rows = stored(_keyed(docs, text).mapInArrow(lambda b: _anchor_rows(b, s), "ah int, ch long, doc_id long, th long, p int"))
     more = rows.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah")
     rows = stored(rows.join(more, "ah"))
     kinds = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("rep"))
     kinds = stored(kinds.join(kinds.groupBy("ah").agg(F.count("*").alias("g")), "ah"))
-    left = F.least("p", F.lit(s.reach))
-    where = F.greatest(F.col("p") - s.reach, F.lit(0))
-    need = kinds.where("g > 1").select("ah", "ch", "n", "g", "rep.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "n", "g", "p")).alias("x"))
-    texts = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    ctx = texts.join(need, ["doc_id", "th"]).select(F.encode("text", "UTF-8").alias("raw"), F.explode("x").alias("x")).select("raw", "x.*")
-    ctx = ctx.select("ah", "ch", left.cast("int").alias("left"), "n", F.expr(f"substring(raw, greatest(p - {s.reach}, 0) + 1, p - greatest(p - {s.reach}, 0) + {s.depth})").alias("ctx"), "g")
-    ctx = stored(ctx)
-    cols = ["ah", "ch", "left", "n", "ctx"]
-    few = ctx.where(F.col("g") <= s.bucket).select(*cols).repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(lambda b: _bucket_rows(b, s), "ah int, ch long, a int, b int")
-    digits = ctx.where(F.col("g") > s.bucket).select(*cols).mapInArrow(lambda b: _window_rows(b, s), "ah int, ch long, n long, o int, w long").distinct()
-    twice = digits.groupBy("ah", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    many = digits.where("n = 1").join(twice, ["ah", "o", "w"]).select("ah", "ch", (-F.col("o")).alias("a"), (F.lit(s.depth) - F.col("o")).alias("b"))
-    part = rows.join(few.unionByName(many), ["ah", "ch"]).select("th", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
-    whole = rows.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", where.alias("a"), (F.col("p") + s.depth).alias("b"))
+    found = _gathered(docs, kinds.where(F.col("g").between(2, s.bucket)), s, text)
+    if not kinds.where(F.col("g") > s.bucket).isEmpty():
+        found = found.unionByName(_counted(docs, kinds.where(F.col("g") > s.bucket), s, text))
+    part = rows.join(found, ["ah", "ch"]).select("th", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
+    whole = rows.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", F.greatest(F.col("p") - s.reach, F.lit(0)).alias("a"), (F.col("p") + s.depth).alias("b"))
     flat = whole.unionByName(part).distinct()
     return flat.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("th", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return own.join(spans(docs, s, text), "th", "left").select("doc_id", "text", "a", "b").mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _packed(docs, text).join(spans(docs, s, text), "th", "left").select("doc_id", "z", "a", "b")
+    return found.mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
