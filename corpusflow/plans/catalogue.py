@@ -5,6 +5,413 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusflow.functions import text as T
+from corpusflow.operators import chunking, citations, grounding, kg, lexical, rank, retrieve, vectors
+from corpusflow.operators.components import components
+from corpusflow.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The questions asked of the corpus, and the similarity from which its vectors count as neighbours.
+QUESTION = ["thing", "ingre", "ander", "heres", "onons", "tions", "thble"]
+SEEDS = ["thble", "ingre", "ander"]
+NEAR = 0.35
+QUERY_VECTOR = 7
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its name, with the SQL of the same result."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def _list(xs) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+_TOK = f"list_filter(regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_list(T.STOPWORDS)}))"
+TOK = _TOK.format("text")
+TERMS = f"tok AS (SELECT doc_id, {TOK} AS t FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), nd AS (SELECT count(*) AS n FROM documents), idf AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, nd GROUP BY term)"
+
+
+@query("SELECT substr(sha256(coalesce(text, '')), 1, 16) AS content_id, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY sha256(coalesce(text, ''))")
+def doc_ingest_hash(spark, d):
+    return ingest.first_by_content(t(spark, d, "documents")).select("content_id", "first", "copies")
+
+
+@query(f"WITH {TERMS} SELECT doc_id, term, tf FROM tf")
+def tokens_tf(spark, d):
+    return lexical.term_freq(t(spark, d, "documents"))
+
+
+@query(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def term_df_idf(spark, d):
+    docs = t(spark, d, "documents")
+    return lexical.doc_freq(lexical.term_freq(docs), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {TERMS} SELECT doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / 180))), 6) AS score FROM tf JOIN idf USING (term) JOIN tok USING (doc_id) WHERE term IN ({_list(QUESTION)}) GROUP BY doc_id")
+def bm25_rank(spark, d):
+    return lexical.bm25_rank(t(spark, d, "documents"), QUESTION).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_USED = f"(SELECT DISTINCT CASE WHEN q IN (SELECT term FROM idf) OR q NOT LIKE '%s' THEN q ELSE q[:-2] END FROM (SELECT unnest([{_list(QUESTION)}]) AS q))"
+_LEX = f"{TERMS}, av AS (SELECT avg(len(list_distinct(t))) AS a FROM tok), lx AS (SELECT doc_id, sum(idf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(list_distinct(t)) / a))) AS lex FROM tf JOIN idf USING (term) JOIN tok USING (doc_id), av WHERE term IN {_USED} GROUP BY doc_id), lexed AS (SELECT doc_id, coalesce(lex, 0) AS lex FROM documents LEFT JOIN lx USING (doc_id))"
+
+
+@query(f"WITH {_LEX} SELECT doc_id, round(lex, 6) AS lex FROM lexed")
+def bm25_squared(spark, d):
+    return lexical.bm25_squared(t(spark, d, "documents"), QUESTION).select("doc_id", F.round("lex", 6).alias("lex"))
+
+
+@query(f"WITH {TERMS} SELECT doc_id, round(coalesce(v, 0), 6) AS novelty FROM documents LEFT JOIN (SELECT doc_id, avg(idf) AS v FROM tf JOIN idf USING (term) WHERE df >= 2 GROUP BY doc_id) USING (doc_id)")
+def novelty(spark, d):
+    return lexical.novelty(t(spark, d, "documents")).select("doc_id", F.round("novelty", 6).alias("novelty"))
+
+
+@query(f"WITH {TERMS} SELECT term, round(idf * df, 6) AS score FROM idf ORDER BY idf * df DESC, term LIMIT 20")
+def top_terms(spark, d):
+    return lexical.top_terms(t(spark, d, "documents")).select("term", F.round("score", 6).alias("score"))
+
+
+_WIN = f"{TERMS}, w AS (SELECT doc_id, i AS win, t[i * 180 + 1:i * 180 + 180] AS w FROM tok, range(0, (len(t) + 179) // 180) r(i)), k AS (SELECT * FROM w WHERE win = 0 OR len(w) >= 45), h AS (SELECT doc_id, win, len(w) AS n_tokens, unnest(w) AS term FROM k), c AS (SELECT doc_id, win, n_tokens, term, count(*) AS tf FROM h GROUP BY ALL), ws AS (SELECT doc_id, win, n_tokens, sum(CASE WHEN term IN ({_list(QUESTION)}) THEN idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / 180)) ELSE 0 END) AS score FROM c JOIN idf USING (term) GROUP BY ALL)"
+
+
+@query(f"WITH {_WIN} SELECT doc_id, win, n_tokens, round(score, 6) AS score FROM ws")
+def window_scores(spark, d):
+    return rank.window_scores(t(spark, d, "documents"), QUESTION).select("doc_id", F.col("win").cast("long").alias("win"), F.col("n_tokens").cast("long").alias("n_tokens"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_WIN} SELECT doc_id, round(sum(score) / 5, 6) AS representativeness FROM (SELECT * FROM ws QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, win) <= 5) GROUP BY doc_id")
+def topm_repr(spark, d):
+    return rank.top_m(rank.window_scores(t(spark, d, "documents"), QUESTION)).select("doc_id", F.round("representativeness", 6).alias("representativeness"))
+
+
+@query("WITH a AS (SELECT l_returnflag, round(l_extendedprice, 12) AS l_extendedprice, count(*) AS c FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_extendedprice, c, round(CASE WHEN sum(c) OVER p = 1 THEN 1.0 ELSE (coalesce(sum(c) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c - 1) / 2) / (sum(c) OVER p - 1) END, 6) AS pct FROM a WINDOW p AS (PARTITION BY l_returnflag)")
+def percentile_ties(spark, d):
+    return rank.percentile(t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "l_extendedprice", "c", F.round("pct", 6).alias("pct"))
+
+
+_QUOTA = "sz AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label), e AS (SELECT label, size, 37 * size / sum(size) OVER () AS e, floor(37 * size / sum(size) OVER ()) AS f FROM sz), quota AS (SELECT label, size, (f + CASE WHEN row_number() OVER (ORDER BY round(e - f, 12) DESC, size DESC, label) <= 37 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM e)"
+
+
+@query(f"WITH {_QUOTA} SELECT label, size, quota FROM quota")
+def quota_apportion(spark, d):
+    return rank.apportion(t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("size")), 37, "label")
+
+
+_DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
+_Q = f"(SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VECTOR})"
+
+
+@query(f"WITH {_QUOTA}, s AS (SELECT label, vec_id, {_DOT.format('embedding', _Q)} AS sim FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) SELECT label, vec_id, rank, round(sim, 6) AS sim FROM r JOIN quota USING (label) WHERE rank <= quota")
+def topk_per_cluster(spark, d):
+    v = t(spark, d, "embeddings")
+    q = F.array(*(F.lit(float(x)) for x in v.where(F.col("vec_id") == QUERY_VECTOR).first().embedding))
+    ranked = v.select("label", "vec_id", vectors.dot("embedding", q).alias("sim"))
+    quotas = rank.apportion(v.groupBy("label").agg(F.count("*").alias("size")), 37, "label")
+    return rank.fill_quotas(ranked, quotas, "label", [F.desc(F.round("sim", 9)), "vec_id"]).select("label", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"SELECT vec_id, round({_DOT.format('embedding', _Q)}, 6) AS sim FROM embeddings ORDER BY round({_DOT.format('embedding', _Q)}, 9) DESC, vec_id LIMIT 8")
+def cosine_topk(spark, d):
+    v = t(spark, d, "embeddings")
+    q = F.array(*(F.lit(float(x)) for x in v.where(F.col("vec_id") == QUERY_VECTOR).first().embedding))
+    return v.select("vec_id", vectors.dot("embedding", q).alias("sim")).orderBy(F.desc(F.round("sim", 9)), "vec_id").limit(8).select("vec_id", F.round("sim", 6).alias("sim"))
+
+
+_KNN = f"knn AS (SELECT a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.embedding', 'b.embedding')} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format('a.embedding', 'b.embedding')}, 12) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY rank <= 10)"
+_MUT = f"{_KNN}, mut AS (SELECT i, j, sim FROM knn a WHERE i < j AND sim >= {NEAR} AND EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i))"
+
+
+@query(f"WITH {_KNN} SELECT i, j, rank, round(sim, 6) AS sim FROM knn")
+def knn_graph(spark, d):
+    return vectors.knn(t(spark, d, "embeddings")).select("i", "j", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {_MUT} SELECT i, j, round(sim, 6) AS sim FROM mut")
+def mutual_knn(spark, d):
+    return vectors.mutual(vectors.knn(t(spark, d, "embeddings")), NEAR).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+def _clusters(spark, d, threshold):
+    v = t(spark, d, "embeddings").select("vec_id")
+    own = components(vectors.mutual(vectors.knn(t(spark, d, "embeddings")), threshold).select(F.col("i").alias("a"), F.col("j").alias("b")))
+    return v.join(own.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("vec_id", F.coalesce("root", "vec_id").alias("cluster"))
+
+
+def _cc(threshold: float) -> str:
+    return f"WITH RECURSIVE {_KNN}, m AS (SELECT i, j FROM knn a WHERE sim >= {threshold} AND EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i)), r(vec_id, o) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT m.j, r.o FROM r JOIN m ON m.i = r.vec_id) SELECT vec_id, min(o) AS cluster FROM r GROUP BY vec_id"
+
+
+@query(_cc(NEAR))
+def clusters_cc(spark, d):
+    return _clusters(spark, d, NEAR)
+
+
+@query(_cc(0.4))
+def recluster(spark, d):
+    return _clusters(spark, d, 0.4)
+
+
+@query(
+    "WITH f AS (SELECT label, i, sum(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM f GROUP BY label), "
+    f"s AS (SELECT label, vec_id, round({_DOT.format('embedding', 'c')} / sqrt({_DOT.format('c', 'c')}), 12) AS sim FROM embeddings JOIN c USING (label)) SELECT label, count(*) AS size, arg_max(vec_id, [sim, -vec_id]) AS medoid FROM s GROUP BY label"
+)
+def cluster_medoid(spark, d):
+    return vectors.medoids(t(spark, d, "embeddings"), "label")
+
+
+@query(f"WITH {TERMS}, k AS (SELECT label, term, sum(tf) * any_value(idf) AS score FROM tf JOIN idf USING (term) JOIN embeddings ON vec_id = doc_id GROUP BY ALL) SELECT label, term, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS rank, round(score, 6) AS score FROM k QUALIFY rank <= 20")
+def cluster_keywords(spark, d):
+    docs = t(spark, d, "documents").join(t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
+    return lexical.group_keywords(docs, "label").where("label IS NOT NULL").select("label", "term", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_NT = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_HELD = f"held AS (SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains({_NT.format('d.text')}, {_NT.format('b.text')}) AND {_NT.format('b.text')} <> '')"
+
+
+@query(f"WITH {_HELD} SELECT doc_id, item_id FROM held")
+def title_block_join(spark, d):
+    return citations.contained_titles(t(spark, d, "documents"), t(spark, d, "benchmark"))
+
+
+def _edges(spark, d):
+    """Document to document: to the first that holds the same item, and to the first with the same text."""
+    docs = t(spark, d, "documents")
+    held = citations.contained_titles(docs, t(spark, d, "benchmark"))
+    item = held.join(held.groupBy("item_id").agg(F.min("doc_id").alias("dst")), "item_id").select(F.col("doc_id").alias("src"), "dst")
+    sha = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    same = sha.join(sha.groupBy("h").agg(F.min("doc_id").alias("dst")), "h").select(F.col("doc_id").alias("src"), "dst")
+    return item.unionByName(same).where("src <> dst").distinct()
+
+
+_EDGES = f"{_HELD}, edges AS (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY item_id) AS dst FROM held QUALIFY src <> dst UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS m FROM documents QUALIFY doc_id <> m)"
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM edges")
+def citation_union(spark, d):
+    return _edges(spark, d)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    sql = f"WITH {_EDGES}, n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), deg AS (SELECT src, count(*) AS out FROM edges GROUP BY src), r0 AS (SELECT DISTINCT doc_id AS node, 1.0::DOUBLE / n AS rank FROM documents, n)"
+    for k in range(rounds):
+        sql += f", g{k} AS (SELECT dst, sum(rank / out) AS got FROM edges JOIN deg USING (src) JOIN r{k} ON node = src GROUP BY dst), l{k} AS (SELECT coalesce(sum(rank), 0) AS loose FROM r{k} WHERE node NOT IN (SELECT src FROM deg)), r{k + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM r{k} LEFT JOIN g{k} ON dst = node, n, l{k})"
+    return sql + f" SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_pagerank_sql(10))
+def pagerank_n(spark, d):
+    return rank.pagerank(t(spark, d, "documents").select(F.col("doc_id").alias("node")), _edges(spark, d), 10).select("node", F.round("rank", 9).alias("rank"))
+
+
+_WORDS = "SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS name FROM documents"
+_KEY = "CASE WHEN length(name) > 4 AND NOT (regexp_matches(name, '\\d') AND regexp_matches(name, '^(?:[A-Z][a-z]?\\d*|[()\\[\\]·.+\\-]|\\d)+$')) THEN lower({0}) ELSE {0} END".format("regexp_replace(regexp_replace(name, '[\\s\\-_]+', '', 'g'), '[^\\p{L}\\p{N}_]', '', 'g')")
+
+
+@query(f"WITH n AS (SELECT name, count(*) AS n FROM ({_WORDS}) GROUP BY name), k AS (SELECT name, n, {_KEY} AS key FROM n) SELECT name AS member, first_value(name) OVER (PARTITION BY key ORDER BY n DESC, length(name), name) AS rep FROM k WHERE key <> '' QUALIFY count(*) OVER (PARTITION BY key) > 1")
+def entity_key_merge(spark, d):
+    words = t(spark, d, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("name")).where("name IS NOT NULL").distinct()
+    return kg.entity_clusters(words.groupBy("name").agg(F.count("*").alias("n")))
+
+
+_TRI = f"tok AS (SELECT doc_id, {TOK} AS t FROM documents), tri AS (SELECT DISTINCT t[i] AS s, 'precedes' AS p, t[i + 1] AS o, doc_id FROM tok, range(1, len(t)) r(i))"
+
+
+@query(f"WITH {_TRI} SELECT s, p, o, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tri GROUP BY s, p, o")
+def provenance_union(spark, d):
+    return kg.token_triples(t(spark, d, "documents")).groupBy("s", "p", "o").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query(f"WITH {_TRI}, m AS (SELECT DISTINCT s, p, o, doc_id FROM (SELECT CASE WHEN length(s) > 3 AND s LIKE '%s' THEN s[:-2] ELSE s END AS s, p, CASE WHEN length(o) > 3 AND o LIKE '%s' THEN o[:-2] ELSE o END AS o, doc_id FROM tri)) SELECT s, p, o, count(*) AS n_docs FROM m GROUP BY s, p, o")
+def merge_apply(spark, d):
+    tri = kg.token_triples(t(spark, d, "documents"))
+    plural = kg.name_counts(tri).where("length(name) > 3 AND name LIKE '%s'").select(F.col("name").alias("member"), F.expr("substr(name, 1, length(name) - 1)").alias("rep"))
+    return kg.apply_merge(tri, plural).groupBy("s", "p", "o").agg(F.count("*").alias("n_docs"))
+
+
+@query("WITH v AS (SELECT upper(p_brand) AS short, lower(split_part(p_type, ' ', 1)) AS long, count(*) AS n FROM part GROUP BY ALL) SELECT short, long, n, round(n / sum(n) OVER (PARTITION BY short), 6) AS share FROM v WHERE length(regexp_replace(short, '[^A-Z]', '', 'g')) >= 2 QUALIFY n / sum(n) OVER (PARTITION BY short) >= 0.15")
+def abbrev_dominance(spark, d):
+    votes = t(spark, d, "part").select(F.upper("p_brand").alias("short"), F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("long")).groupBy("short", "long").agg(F.count("*").alias("n"))
+    return kg.dominant_definitions(votes, 0.15).select("short", "long", "n", F.round("share", 6).alias("share"))
+
+
+def _order_triples(spark, d):
+    o = t(spark, d, "orders")
+    who, order, id_ = F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("o"), "o_orderkey"), F.col("o_orderkey").alias("doc_id")
+    return o.select(who.alias("s"), F.lit("authored").alias("p"), order.alias("o"), id_).unionByName(o.select(order.alias("s"), F.lit("has priority").alias("p"), F.col("o_orderpriority").alias("o"), id_)).unionByName(o.select(order.alias("s"), F.lit("has status").alias("p"), F.col("o_orderstatus").alias("o"), id_))
+
+
+_OT = "tri AS (SELECT 'c' || o_custkey AS s, 'authored' AS p, 'o' || o_orderkey AS o, o_orderkey AS doc_id FROM orders UNION ALL SELECT 'o' || o_orderkey, 'has priority', o_orderpriority, o_orderkey FROM orders UNION ALL SELECT 'o' || o_orderkey, 'has status', o_orderstatus, o_orderkey FROM orders), gone AS (SELECT DISTINCT s AS name FROM tri WHERE p = 'authored'), kept AS (SELECT * FROM tri WHERE s NOT IN (SELECT name FROM gone) AND o NOT IN (SELECT name FROM gone))"
+
+
+@query(f"WITH {_OT} SELECT s, p, o, doc_id FROM kept")
+def author_prune(spark, d):
+    return kg.prune(_order_triples(spark, d), {"authored": ("s",)})
+
+
+@query(f"WITH {_OT} SELECT DISTINCT name FROM (SELECT s AS name FROM tri UNION ALL SELECT o FROM tri) WHERE name NOT IN (SELECT s FROM kept UNION ALL SELECT o FROM kept)")
+def isolated_nodes(spark, d):
+    tri = _order_triples(spark, d)
+    return kg.isolated(kg.name_counts(tri), kg.prune(tri, {"authored": ("s",)}))
+
+
+_ED = "ed AS (SELECT name, count(DISTINCT doc_id) AS df FROM (SELECT s AS name, doc_id FROM tri UNION ALL SELECT o, doc_id FROM tri) GROUP BY name)"
+
+
+@query(f"WITH {_TRI}, {_ED} SELECT name, df, df > 20 AS hub FROM ed WHERE df >= 2")
+def graph_seeds_df(spark, d):
+    return kg.entity_df(kg.token_triples(t(spark, d, "documents"))).where("df >= 2").withColumn("hub", F.col("df") > 20)
+
+
+@query(
+    f"WITH {_TRI}, {_ED}, rel AS (SELECT s, p, o, count(DISTINCT doc_id) AS n_docs FROM tri WHERE s <> o GROUP BY s, p, o), "
+    f"seed AS (SELECT name, ord, ln((SELECT count(*) FROM documents) / df) AS w FROM (SELECT unnest([{_list(SEEDS)}]) AS name, unnest([0, 1, 2]) AS ord) JOIN ed USING (name) WHERE df >= 2), "
+    "one AS (SELECT s, p, o, n_docs, ord, w, o AS other FROM rel JOIN seed ON name = s UNION ALL SELECT s, p, o, n_docs, ord, w, s FROM rel JOIN seed ON name = o), "
+    "front AS (SELECT other AS name, arg_min(w, ord) * 0.5 AS w FROM one WHERE other NOT IN (SELECT name FROM seed) AND other NOT IN (SELECT name FROM ed WHERE df > 20) GROUP BY other), "
+    "al AS (SELECT s, p, o, n_docs, w FROM one UNION ALL SELECT s, p, o, n_docs, w FROM rel JOIN front ON name = s UNION ALL SELECT s, p, o, n_docs, w FROM rel JOIN front ON name = o), "
+    "f AS (SELECT s, p, o, n_docs, max(w) * greatest(n_docs, 1) AS score FROM al WHERE w > 0 GROUP BY s, p, o, n_docs) SELECT s, p, o, n_docs, round(score, 6) AS score FROM f ORDER BY round(f.score, 9) DESC, s, p, o LIMIT 25"
+)
+def graph_facts_2hop(spark, d):
+    docs = t(spark, d, "documents")
+    tri = kg.token_triples(docs)
+    return kg.graph_facts(tri.where("s <> o"), SEEDS, docs.count()).select("s", "p", "o", "n_docs", F.round("score", 6).alias("score"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][ >]'))::BIGINT AS n_headings, len(regexp_extract_all(html, '(?i)<p[ >]'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, '(?i)<a[ >]'))::BIGINT AS n_links FROM pages")
+def html_sections(spark, d):
+    return ingest.sections(t(spark, d, "pages"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def html_strip(spark, d):
+    return t(spark, d, "pages").select("page_id", ingest.strip_html().alias("text"))
+
+
+_H = "regexp_replace(regexp_replace(trim(lower(coalesce(split_part(text, chr(10), 1), ''))), '^[\\divxlc]+[.)]?\\s+', ''), '[\\s.:]+$', '')"
+
+
+@query(f"SELECT doc_id, {_H} AS heading, {_H} IN ({_list(T.REF_HEADINGS)}) AS is_reference FROM documents")
+def heading_filter(spark, d):
+    head = F.split_part("text", F.lit("\n"), F.lit(1))
+    return t(spark, d, "documents").select("doc_id", T.norm_heading(head).alias("heading"), T.is_reference_heading(head).alias("is_reference"))
+
+
+@query("SELECT doc_id, nullif(regexp_replace(regexp_extract(substr(text, 1, 5000), '\\b10\\.\\d{4,9}/[-._;()/:a-zA-Z0-9]+', 0), '[.,;:)]+$', ''), '') AS doi FROM documents")
+def doi_extract(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.find_doi("text").alias("doi"))
+
+
+@query("WITH x AS (SELECT event_id, 'Received ' || strftime(ts, '%B %-d, %Y') || ', revised ' || strftime(ts, '%Y-%m') || ' and 2031' AS s, ts FROM events) SELECT event_id, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN year(ts) WHEN year(ts) = 2024 THEN 2024 END::INT AS y, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN month(ts) WHEN year(ts) = 2024 THEN 0 END::INT AS m FROM x")
+def date_scan(spark, d):
+    e = t(spark, d, "events")
+    said = F.concat(F.lit("Received "), F.date_format("ts", "MMMM d, yyyy"), F.lit(", revised "), F.date_format("ts", "yyyy-MM"), F.lit(" and 2031"))
+    return e.select("event_id", T.latest_date(said, 2024, 6).alias("x")).select("event_id", F.col("x.y").alias("y"), F.col("x.m").alias("m"))
+
+
+def _hybrid(scope: str = "true") -> str:
+    return (
+        f"WITH {_LEX}, s AS (SELECT doc_id, {_DOT.format('embedding', _Q)} AS sim, lex FROM lexed JOIN embeddings ON vec_id = doc_id WHERE {scope}), "
+        "k AS (SELECT doc_id, sim, 1.0::DOUBLE AS boost, lex / coalesce(nullif((SELECT max(lex) FROM s), 0), 1) AS lex FROM s), r AS (SELECT *, sim * boost + 0.3 * lex AS score FROM k ORDER BY sim * boost + 0.3 * lex DESC, doc_id LIMIT 8) "
+    )
+
+
+_FLOOR = "SELECT doc_id, round(sim, 6) AS sim, boost, round(lex, 6) AS lex, round(score, 6) AS score FROM r WHERE score >= greatest(0.5 * (SELECT max(score) FROM r), 0) OR score = (SELECT max(score) FROM r)"
+
+
+def _retrieve(spark, d, scope=None):
+    v = t(spark, d, "embeddings")
+    q = list(v.where(F.col("vec_id") == QUERY_VECTOR).first().embedding)
+    got = retrieve.retrieve(t(spark, d, "documents"), v, q, QUESTION, scope)
+    return got.select("doc_id", F.round("sim", 6).alias("sim"), "boost", F.round("lex", 6).alias("lex"), F.round("score", 6).alias("score"))
+
+
+@query(_hybrid() + _FLOOR)
+def hybrid_retrieve(spark, d):
+    return _retrieve(spark, d)
+
+
+SCOPE = [3, 17, 29, 41, 58, 73, 96, 110, 123, 150, 177, 199]
+
+
+@query(_hybrid(f"doc_id IN ({', '.join(map(str, SCOPE))})") + _FLOOR)
+def scoped_retrieve(spark, d):
+    return _retrieve(spark, d, SCOPE)
+
+
+_CLAIMS = f"u AS (SELECT conv_id, turn, role, {_TOK.format('text')} AS t FROM conversations), c AS (SELECT a.conv_id, a.turn AS claim_turn, b.turn AS chunk_turn, a.t AS ct, b.t AS kt FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE len(a.t) >= 4)"
+_RUN = "len(list_filter(range(1, len(ct) - least(8, len(ct)) + 2), lambda i: contains(array_to_string(kt, ''), array_to_string(ct[i:i + least(8, len(ct)) - 1], '')))) > 0"
+
+
+def _claims(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", T.tokens("text").alias("t"))
+    a, b = c.select("conv_id", F.col("turn").alias("claim_turn"), F.col("t").alias("ct")).where("size(ct) >= 4"), c.select("conv_id", F.col("turn").alias("chunk_turn"), F.col("t").alias("kt"))
+    return a.join(b, "conv_id").where("chunk_turn < claim_turn")
+
+
+@query(f"WITH {_CLAIMS} SELECT conv_id, claim_turn, chunk_turn, round(len(list_filter(ct, lambda x: list_contains(kt, x))) / len(ct), 6) AS overlap FROM c")
+def claim_overlap(spark, d):
+    return _claims(spark, d).select("conv_id", "claim_turn", "chunk_turn", F.round(grounding.overlap(F.col("ct"), F.col("kt")), 6).alias("overlap"))
+
+
+@query(f"WITH {_CLAIMS} SELECT conv_id, claim_turn, chunk_turn, {_RUN} AS verbatim FROM c")
+def verbatim_run(spark, d):
+    return _claims(spark, d).select("conv_id", "claim_turn", "chunk_turn", grounding.verbatim(F.col("ct"), F.col("kt")).alias("verbatim"))
+
+
+@query("SELECT conv_id AS query_id, string_agg('[' || turn || '] ' || role || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS context FROM conversations GROUP BY conv_id")
+def prompt_context(spark, d):
+    return retrieve.prompt_context(t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("source"), "text"))
+
+
+@query()
+def chunk_text(spark, d):
+    return chunking.chunks(t(spark, d, "documents"))
+
+
+@query()
+def kg_packing(spark, d):
+    return chunking.calls(t(spark, d, "documents"))
+
+
+@query(f"WITH {TERMS}, l AS (SELECT DISTINCT term, lang = 'en' AS own FROM tf JOIN documents USING (doc_id)) SELECT term AS name FROM l GROUP BY term HAVING bool_and(own)")
+def kg_diff(spark, d):
+    docs = t(spark, d, "documents")
+    names = lambda x: lexical.terms(x).select(F.col("term").alias("name")).distinct()
+    return kg.diff(names(docs.where("lang = 'en'")), names(docs.where("lang IS NULL OR lang <> 'en'")))
+
+
+@query("WITH w AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents) SELECT lang, count(*) AS n_docs, round(avg(n), 6) AS avg_words, count(*) FILTER (n > 220) AS oversized FROM w GROUP BY lang")
+def chunk_stats(spark, d):
+    w = t(spark, d, "documents").select("lang", T.word_count("text").alias("n"))
+    return w.groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_words"), F.count_if(F.col("n") > 220).alias("oversized"))
+
+
+@query("SELECT source, round(avg((quality IS NOT NULL)::INT), 6) AS labelled, round(avg((coalesce(text, '') <> '')::INT), 6) AS with_text FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def metadata_coverage(spark, d):
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    return x.groupBy("source").agg(F.round(F.avg(F.col("quality").isNotNull().cast("int")), 6).alias("labelled"), F.round(F.avg((F.coalesce("text", F.lit("")) != "").cast("int")), 6).alias("with_text"))
+
+
+_MM = ", ".join(f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 2 - 1, 6) AS {c}" for c in ("x", "y", "z"))
+
+
+@query(f"WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) SELECT vec_id, {_MM} FROM v")
+def minmax_scale(spark, d):
+    v = t(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "z"))))
+    return vectors.minmax(v, ["x", "y", "z"]).select("vec_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "z")))
