@@ -98,7 +98,14 @@ def tokens(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.concatenate([[0], np.cumsum(stop - start)])[:-1]
     ends = np.cumsum([1 + len(r) for r in raw])
     upto = np.searchsorted(start, ends)
-    return word, tri.astype(np.int64), first, np.diff(np.concatenate([[0], upto]))
+    return word, tri.astype(np.int32), first, np.diff(np.concatenate([[0], upto]))
+
+
+def _all_tokens(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of many texts, a few at a time."""
+    parts = [tokens(texts[i : i + 100], s) for i in range(0, len(texts), 100)]
+    shift = np.cumsum([0, *(len(p[1]) for p in parts)])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + k for p, k in zip(parts, shift, strict=False)]), np.concatenate([p[3] for p in parts])
 
 
 def windows(counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +125,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def inputs(p: dict, word: np.ndarray, tri: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(word):
         return np.zeros((0, p["word"].shape[1] + p["char"].shape[1]), np.float32)
-    n = np.diff(np.concatenate([first, [len(tri)]])).astype(np.float32)
-    return np.concatenate([p["word"][word], np.add.reduceat(p["char"][tri], first, 0) / n[:, None]], 1)
+    ends = np.concatenate([first, [len(tri)]])
+    out = np.empty((len(word), p["word"].shape[1] + p["char"].shape[1]), np.float32)
+    for lo in range(0, len(word), 1 << 16):
+        hi = min(lo + (1 << 16), len(word))
+        out[lo:hi, : p["word"].shape[1]] = p["word"][word[lo:hi]]
+        out[lo:hi, p["word"].shape[1] :] = np.add.reduceat(p["char"][tri[ends[lo] : ends[hi]]], first[lo:hi] - ends[lo], 0) / np.diff(ends[lo : hi + 1]).astype(np.float32)[:, None]
+    return out
 
 
 def run(p: dict, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
@@ -196,8 +208,10 @@ def start_parameters(s: Settings, rng: np.random.Generator) -> dict[str, np.ndar
 
 def _log_odds(ids: np.ndarray, text: np.ndarray, y: np.ndarray, use: np.ndarray, n: int) -> np.ndarray:
     """Log-odds of a bucket's occurrence in texts of label 1 against label 0, drawn towards 0 by two standard errors."""
-    pair = np.unique((ids * len(y) + text)[use[text]])
-    t, c = (np.bincount(pair[y[pair % len(y)] == q] // len(y), minlength=n) + 0.5 for q in (1, 0))
+    ends = np.searchsorted(text, np.arange(len(y) + 1))
+    t, c = np.full(n, 0.5), np.full(n, 0.5)
+    for k in np.flatnonzero(use):
+        (t if y[k] else c)[np.unique(ids[ends[k] : ends[k + 1]])] += 1
     odds = np.log(t / (y[use].sum() + 1)) - np.log(c / ((1 - y[use]).sum() + 1))
     return (np.sign(odds) * np.clip(np.abs(odds) - 2 * np.sqrt(1 / t + 1 / c), 0, 4)).astype(np.float32)
 
@@ -210,18 +224,19 @@ def fit(rows: list[tuple[str, int]], share: float, s: Settings = Settings()) ->
     y = np.array([q for _, q in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return model
-    word, tri, first, counts = tokens([t for t, _ in rows], s)
+    word, tri, first, counts = _all_tokens([t for t, _ in rows], s)
     doc = np.repeat(np.arange(len(rows)), counts)
     held = rng.random(len(rows)) < s.held
     chars = np.diff(np.concatenate([first, [len(tri)]]))
     p["word"][:, 0] = _log_odds(word, doc, y, ~held, s.word_buckets)
-    p["char"][:, 0] = _log_odds(tri, np.repeat(doc, chars), y, ~held, s.char_buckets)
+    p["char"][:, 0] = _log_odds(tri, np.repeat(doc.astype(np.int32), chars), y, ~held, s.char_buckets)
     at, length, text = windows(counts, s)
     step = np.arange(s.window)
-    index = np.minimum(at[:, None] + step, max(len(word) - 1, 0))
+    index = np.minimum(at[:, None] + step, max(len(word) - 1, 0)).astype(np.int32)
     mask = (step < length[:, None]).astype(np.float32)
-    worst = np.where(mask > 0, p["word"][word[index], 0], -9).max(1)  # what to begin with: the window of the most telling word
-    m1, m2, k = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}, 0
+    worst = np.where(mask > 0, p["word"][:, 0][word][index], np.float32(-9)).max(1)  # what to begin with: the window of the most telling word
+    small = [n for n in p if n not in ("word", "char")]
+    m1, m2, k = {n: np.zeros_like(p[n]) for n in small}, {n: np.zeros_like(p[n]) for n in small}, 0
     for turn in range(s.rounds):
         order = np.lexsort((-worst, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order], "left")
