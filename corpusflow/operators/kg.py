@@ -51,7 +51,7 @@ def provenance(triples: DataFrame) -> DataFrame:
 def fold_clusters(old: DataFrame, new: DataFrame) -> DataFrame:
     """(member, rep) of two merge maps, followed to the end: a representative that was absorbed goes to its absorber's."""
     both = old.unionByName(new).select("member", "rep").distinct()
-    ends = both.select("rep").distinct().join(new.where("member <> rep").select(F.col("member").alias("rep")).distinct(), "rep", "left_anti")
+    ends = both.select("rep").distinct().join(both.where("member <> rep").select(F.col("member").alias("rep")).distinct(), "rep", "left_anti")
     roots = components(both.select(F.col("member").alias("a"), F.col("rep").alias("b")).where("a <> b"))
     live = roots.join(ends.withColumnRenamed("rep", "node"), "node", "left_semi").groupBy("root").agg(F.min("node").alias("rep"))
     return roots.join(live, "root").select(F.col("node").alias("member"), "rep").distinct()

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def inspect_files(spark: SparkSession, path: str, magic: bytes = b"%PDF", pattern: str = "*.pdf", most: int = 50 << 20) -> DataFrame:
-    """(path, sha256, doc_id, length, error) of every file below a folder; the first check that fails is the error."""
+    """(path, sha256, doc_id, length, error) of every file below a folder; the first check that fails is the error. Spark lists no empty files."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    error = F.when(F.col("length") == 0, "empty file").when(F.col("length") > most, "file too large").when(F.substring("content", 1, len(magic)) != F.lit(bytearray(magic)), "wrong file type")
+    error = F.when(F.col("length") > most, "file too large").when(F.substring("content", 1, len(magic)) != F.lit(bytearray(magic)), "wrong file type")
     sha = F.sha2("content", 256)
     return f.select("path", sha.alias("sha256"), F.substring(sha, 1, 16).alias("doc_id"), "length", error.alias("error"))
 
