@@ -180,8 +180,9 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.
 
     def close() -> None:
         for (_, ch, _, n, _), spans in zip(run, repeated([(x[4], x[2]) for x in run], s), strict=True):
-            if n == 1:  # where a context itself comes back, all of it is known to
-                rows.extend((run[0][0], ch, a, b) for a, b in dict.fromkeys(spans))
+            if n == 1 and spans:  # where a context itself comes back, all of it is known to
+                # every span holds the anchor, so together they are one
+                rows.append((run[0][0], ch, min(a for a, _ in spans), max(b for _, b in spans)))
         run.clear()
 
     def emit() -> pa.RecordBatch:
@@ -312,21 +313,22 @@ def _counted(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataF
     live = cores.join(alike, ["ah", "r", "w"]).groupBy("ah", "ch").agg(F.collect_set("r").alias("rs"))
     digits = stored(big.join(live, ["ah", "ch"]).select("ah", "ch", "left", "n", "ctx", "rs").mapInArrow(lambda b: _window_rows(b, s), "ah int, ch long, n long, o int, w long").distinct())
     twice = digits.groupBy("ah", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return digits.where("n = 1").join(twice, ["ah", "o", "w"]).select("ah", "ch", (-F.col("o")).alias("a"), (F.lit(s.depth) - F.col("o")).alias("b"))
+    return digits.where("n = 1").join(twice, ["ah", "o", "w"]).groupBy("ah", "ch").agg((-F.max("o")).alias("a"), (F.lit(s.depth) - F.min("o")).alias("b"))
 
 
 def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """(th, a, b): of each text, by its hash, lists of begins and ends of spans to remove; texts without any are left out."""
     rows = stored(_keyed(docs, text).mapInArrow(lambda b: _anchor_rows(b, s), "ah int, ch long, doc_id long, th long, p int"))
-    more = rows.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah")
+    # counts are stored, so that both sides of the joins on anchors are plain tables and a hot anchor's rows can be split
+    more = stored(rows.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah"))
     rows = stored(rows.join(more, "ah"))
-    kinds = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("rep"))
-    kinds = stored(kinds.join(kinds.groupBy("ah").agg(F.count("*").alias("g")), "ah"))
+    each = stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("rep")))
+    kinds = each.join(stored(each.groupBy("ah").agg(F.count("*").alias("g"))), "ah")
     found = _gathered(docs, kinds.where(F.col("g").between(2, s.bucket)), s, text)
     if not kinds.where(F.col("g") > s.bucket).isEmpty():
         found = found.unionByName(_counted(docs, kinds.where(F.col("g") > s.bucket), s, text))
     part = rows.join(found, ["ah", "ch"]).select("th", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
-    whole = rows.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", F.greatest(F.col("p") - s.reach, F.lit(0)).alias("a"), (F.col("p") + s.depth).alias("b"))
+    whole = rows.join(each.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", F.greatest(F.col("p") - s.reach, F.lit(0)).alias("a"), (F.col("p") + s.depth).alias("b"))
     flat = whole.unionByName(part).distinct()
     return flat.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("th", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
