@@ -26,7 +26,11 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Comments, declarations and tags. Possessive throughout, so broken markup costs no backtracking; the last form takes tags whose quotes do not close.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?+)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?+)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
+    re.S,
+)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 #: Fixed values of HTML: elements whose content is no text of the page, and those that begin a block.
@@ -152,14 +156,15 @@ def blocks(html: str) -> list[Block]:
             break
         put(html[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        name = m[2] or m[5]
+        if name is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW and not closing:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = close.end() if close else length
         elif tag in SKIPPED:
-            skip = max(0, skip + (-1 if closing else 0 if m[3].rstrip().endswith("/") else 1))
+            skip = max(0, skip + (-1 if closing else 0 if attrs.rstrip().endswith("/") else 1))
         elif tag == "body" and not closing:
             skip = 0
         elif tag == "br":
@@ -185,7 +190,7 @@ def blocks(html: str) -> list[Block]:
                         if stack[k].tag in shut:
                             del stack[k:]
                             break
-                n = _node(tag, m[3], stack[-1])
+                n = _node(tag, attrs, stack[-1])
                 if (n.article or n.positive) and not n.negative:
                     up = n.parent
                     while up is not None and not up.holds_article:
@@ -204,16 +209,16 @@ def classify(bs: list[Block], w: Weights) -> None:
 
     def above(n: Node | None) -> float:
         """What the ancestors say: a boilerplate one outweighs all; one around the article says nothing."""
-        if n is None:
-            return 0.0
-        got = memo.get(id(n))
-        if got is None:
+        path = []
+        while n is not None and id(n) not in memo:
+            path.append(n)
+            n = n.parent
+        got = memo[id(n)] if n is not None else 0.0
+        for n in reversed(path):
             if n.negative and not n.holds_article:
                 got = w.negative
-            else:
-                got = above(n.parent)
-                if got > w.negative:
-                    got = max(got, w.in_article if n.article else w.positive_name if n.positive else got)
+            elif got > w.negative:
+                got = max(got, w.in_article if n.article else w.positive_name if n.positive else got)
             memo[id(n)] = got
         return got
 
