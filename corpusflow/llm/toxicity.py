@@ -275,6 +275,8 @@ def fit(rows: list[tuple[str, int]], share: float, s: Settings = Settings()) ->
     use = held & (counts > 0)
     if len(set(y[use].tolist())) < 2:
         use = counts > 0
+    if len(set(y[use].tolist())) < 2:  # no text of the one label has a word
+        return model
     model.slope, offset = logistic(top[use], y[use].astype(float))
     n1 = y[use].mean()
     model.offset = offset + math.log(max(share, 1e-6) / max(1 - share, 1e-6)) - math.log(n1 / (1 - n1))
