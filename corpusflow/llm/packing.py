@@ -41,7 +41,7 @@ class Packing:
     quadratic: float = 1.0 / 2048
     #: ids gathered before a buffer is packed, and words kept in the tokenizer's cache
     buffer_tokens: int = 1 << 20
-    cache_words: int = 600_000
+    cache_words: int = 750_000
 
 
 class Tokens(dict):
@@ -66,8 +66,11 @@ class Tokens(dict):
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        # a full stop or comma behind a letter is a piece of its own
-        out = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and word[-2:-1].isalpha() else self.ids(word)
+        # symbols behind the last letter or digit are a piece of their own
+        end = len(word)
+        while end and not word[end - 1].isalnum():
+            end -= 1
+        out = self[word[:end]] + self[word[end:]] if 0 < end < len(word) else self.ids(word)
         self[word] = out
         return out
 
