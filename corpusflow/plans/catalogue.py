@@ -100,9 +100,9 @@ def topm_repr(spark, d):
     return rank.top_m(rank.window_scores(t(spark, d, "documents"), QUESTION)).select("doc_id", F.round("representativeness", 6).alias("representativeness"))
 
 
-@query("WITH a AS (SELECT l_returnflag, round(l_extendedprice, 12) AS l_extendedprice, count(*) AS c FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_extendedprice, c, round(CASE WHEN sum(c) OVER p = 1 THEN 1.0 ELSE (coalesce(sum(c) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c - 1) / 2) / (sum(c) OVER p - 1) END, 6) AS pct FROM a WINDOW p AS (PARTITION BY l_returnflag)")
+@query("WITH a AS (SELECT l_suppkey, round(l_quantity, 12) AS l_quantity, count(*) AS c FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_quantity, c, round(CASE WHEN sum(c) OVER p = 1 THEN 1.0 ELSE (coalesce(sum(c) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c - 1) / 2) / (sum(c) OVER p - 1) END, 6) AS pct FROM a WINDOW p AS (PARTITION BY l_suppkey)")
 def percentile_ties(spark, d):
-    return rank.percentile(t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "l_extendedprice", "c", F.round("pct", 6).alias("pct"))
+    return rank.percentile(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity").select("l_suppkey", "l_quantity", "c", F.round("pct", 6).alias("pct"))
 
 
 _QUOTA = "sz AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label), e AS (SELECT label, size, 37 * size / sum(size) OVER () AS e, floor(37 * size / sum(size) OVER ()) AS f FROM sz), quota AS (SELECT label, size, (f + CASE WHEN row_number() OVER (ORDER BY round(e - f, 12) DESC, size DESC, label) <= 37 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM e)"
