@@ -33,13 +33,29 @@ def top_m(scores: DataFrame, m: int = 5) -> DataFrame:
 
 
 def percentile(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """``pct``: average rank among equal values (at 12 decimals) over n - 1; 1 for a single row. Counts of equal values are combined first, so a frequent value is one row."""
-    v = F.round(F.col(value), 12)
+    """``pct``: average rank among equal values (at 12 decimals) over n - 1; 1 for a single row.
+
+    Counts of equal values are combined first, so a frequent value is one row.
+    Groups are cut into ranges of values, whose counts are summed up, so a
+    large group is ranked by many tasks.
+    """
+    x = F.col(value).cast("double")
+    scaled = F.round(x * 1e12, 0) / 1e12  # as DuckDB rounds: from some thousands on the last binary digit can change
+    v = F.when(F.abs(x * 1e12) < F.lit(float("inf")), scaled).otherwise(x)
     each = df.groupBy(*group, v.alias("v")).agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    each = cut(each.repartitionByRange(*group, "v").withColumn("_r", F.spark_partition_id()))
+    ranges = each.groupBy(*group, "_r").agg(F.sum("c").alias("_c"))
     whole = Window.partitionBy(*group)
-    n = F.sum("c").over(whole)
-    return each.withColumn("pct", F.when(n == 1, F.lit(1.0)).otherwise((F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") - 1) / 2) / (n - 1))).withColumnRenamed("v", value)
+    # a row for each range that a group reaches into
+    below = F.sum("_c").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), F.col("_r").alias("_q"), F.coalesce(below, F.lit(0)).alias("_below"), F.sum("_c").over(whole).alias("_n"))
+    same = F.col("_r") == F.col("_q")
+    for k, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    before = Window.partitionBy(*group, "_r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.col("_below") + F.coalesce(F.sum("c").over(before), F.lit(0))
+    pct = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((lower + (F.col("c") - 1) / 2) / (F.col("_n") - 1))
+    return each.join(ranges, same).select(*group, F.col("v").alias(value), "c", pct.alias("pct"))
 
 
 def apportion(sizes: DataFrame, k: int, group: str) -> DataFrame:
