@@ -2,13 +2,16 @@
 
 A text's words are its runs of letters and digits in lower case, its shingles
 five words long. Windows as long as a benchmark item are fingerprinted by
-SimHash where they could match: a window without a shingle of the item has
-similarity zero, so one window is opened at each first shingle of a common
-run, aligned with the item. Fingerprints are looked up in a multi-index:
+SimHash where they could match. The best window of all can be moved left until
+its last shingle is one of the item's, and at similarity ``least`` a share of
+2 * least / (100 + least) of its shingles are; so around each first shingle of
+a common run, every window is opened that ends with a shingle of the item and
+holds that many, beside the one aligned with the item. Fingerprints are looked up in a multi-index:
 ``radius + 1`` blocks, of which any fingerprint within the radius has at least
 one in common with the item's. Pairs within the radius are verified by the
 exact weighted similarity of their shingles, each weighing as often as it
-occurs: the sum of least over the sum of greatest counts, ``least`` or more.
+occurs: the sum of least over the sum of greatest counts, ``least`` or more. Of
+equally good windows an aligned one is named, then the first.
 
 The benchmark is broadcast only after its shingles have been counted
 (``broadcast_shingles``); a larger one is joined by shuffles. A text meets the
@@ -80,20 +83,29 @@ def _items(benchmark: DataFrame, s: Settings) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, s: Settings, small: bool, text: str = "text") -> DataFrame:
-    """(doc_id, n, start, win): item-sized windows of words, opened where a run of an item's shingles begins."""
-    anchors = items.select("n", "ih", F.posexplode_outer("ih").alias("off", "h")).select("h", "n", "off", F.expr("CASE WHEN off > 0 THEN ih[off - 1] END").alias("before")).distinct()
+    """(doc_id, n, start, aligned, win): item-sized windows of words around the runs of an item's shingles."""
+    anchors = items.select("item_id", "n", "ih", F.posexplode_outer("ih").alias("off", "h")).select("h", "item_id", "n", "off", F.expr("CASE WHEN off > 0 THEN ih[off - 1] END").alias("before"))
+    whole = items.select("item_id", F.array_distinct("ih").alias("ih"))
     # outer: the filter that Spark infers for an inner one would compute the words anew for each shingle
     words = docs.select("doc_id", F.expr(_words(text)).alias("w"))
     seen = words.withColumn("hs", F.expr(_hashes("w", s.shingle)))
-    start = F.expr("greatest(0, least(pos - off, size(w) - n))")
     if small:
         hits = seen.select("doc_id", "w", "hs", F.posexplode_outer("hs").alias("pos", "h")).join(F.broadcast(anchors), "h")
         begins = hits.where("before IS NULL OR pos = 0 OR hs[greatest(pos - 1, 0)] <> before")
-        return begins.select("doc_id", "n", start.alias("start"), F.expr("slice(w, greatest(0, least(pos - off, size(w) - n)) + 1, n)").alias("win"))
-    # a large benchmark: shingles are shuffled, texts meet only the places found
-    flat = seen.select("doc_id", F.size("w").alias("m"), F.posexplode_outer(F.expr("transform(hs, (x, i) -> struct(x AS h, CASE WHEN i > 0 THEN hs[i - 1] END AS prev))")).alias("pos", "x")).select("doc_id", "m", "pos", "x.*")
-    found = flat.join(anchors, "h").where("before IS NULL OR prev IS NULL OR prev <> before").select("doc_id", "n", F.expr("greatest(0, least(pos - off, m - n))").alias("start")).distinct()
-    return found.join(words, "doc_id").select("doc_id", "n", "start", F.expr("slice(w, start + 1, n)").alias("win"))
+        begins = begins.select("doc_id", "w", "hs", "pos", "off", "n", "item_id").join(F.broadcast(whole), "item_id")
+    else:
+        # a large benchmark: shingles are shuffled, texts meet only the places found
+        flat = seen.select("doc_id", F.posexplode_outer(F.expr("transform(hs, (x, i) -> struct(x AS h, CASE WHEN i > 0 THEN hs[i - 1] END AS prev))")).alias("pos", "x")).select("doc_id", "pos", "x.*")
+        found = flat.join(anchors, "h").where("before IS NULL OR prev IS NULL OR prev <> before").select("doc_id", "pos", "off", "n", "item_id").distinct()
+        # a place whose text of the same id is shorter has no hash there
+        begins = found.join(seen, "doc_id").where("pos < size(hs)").join(whole, "item_id")
+    size = f"(n - {s.shingle - 1})"
+    need = f"((2 * {s.least} * {size} + {99 + s.least}) div {100 + s.least})"
+    begins = begins.select("doc_id", "n", "w", F.expr("greatest(0, least(pos - off, size(w) - n))").alias("own"), F.expr(f"cast({need} AS int)").alias("need"), F.expr(f"filter(sequence(cast(greatest(0, pos - {size} + {need}) AS int), least(size(hs) - 1, pos - off + 2 * {size} - 2)), q -> array_contains(ih, hs[q]))").alias("at"))
+    # the place of the window that ends with each shingle of the item, if it holds enough of them
+    ends = f"CASE WHEN size(w) >= n THEN filter(transform(at, (p, j) -> CASE WHEN j >= need - 1 AND at[greatest(j - need + 1, 0)] > p - {size} THEN greatest(0, p - {size} + 1) END), x -> x IS NOT NULL) ELSE array() END"
+    starts = begins.select("doc_id", "n", "w", "own", F.explode(F.expr(f"array_union(array(own), {ends})")).alias("start"))
+    return starts.select("doc_id", "n", "start", F.expr("start = own").alias("aligned"), F.expr("slice(w, start + 1, n)").alias("win"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
@@ -102,6 +114,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), tex
     small = (items.agg(F.sum(F.size("ih"))).first()[0] or 0) <= s.broadcast_shingles
     near = (
         windows(docs, items, s, small, text)
+        # windows are opened by each run that they hold
+        .groupBy("doc_id", "n", "start", "win")
+        .agg(F.max("aligned").alias("aligned"))
         .withColumn("wh", F.expr(_hashes("win", s.shingle)))
         .withColumn("fp", F.expr(_simhash("wh")))
         .withColumn("b", F.expr(_blocks("fp", s.radius)))
@@ -111,15 +126,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), tex
     )
     index = items.select("item_id", "n", "ifp", "ish", F.explode_outer(F.expr(_blocks("ifp", s.radius))).alias("x")).select("item_id", "n", "ifp", "ish", "x.*")
     index = F.broadcast(index) if small else index
-    pairs = near.select("doc_id", "n", "start", "win", "fp", "b", F.posexplode_outer("b").alias("k", "x")).select("*", "x.v").join(index, ["n", "k", "v"])
+    pairs = near.select("doc_id", "n", "start", "aligned", "win", "fp", "b", F.posexplode_outer("b").alias("k", "x")).select("*", "x.v").join(index, ["n", "k", "v"])
     # a pair is taken at the first block that agrees
     first = F.expr(f"NOT exists(slice({_blocks('ifp', s.radius)}, 1, k), y -> b[y.k].v = y.v)")
     pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= s.radius) & first)
     common = "aggregate(array_distinct(ish), 0, (a, g) -> a + least(size(filter(ish, y -> y = g)), size(filter(wsh, y -> y = g))))"
-    scored = pairs.withColumn("wsh", F.expr(_shingles("win", s.shingle))).select("doc_id", "item_id", "n", "start", F.expr(common).alias("c"), F.expr("size(ish) + size(wsh)").alias("t"))
+    scored = pairs.withColumn("wsh", F.expr(_shingles("win", s.shingle))).select("doc_id", "item_id", "n", "start", "aligned", F.expr(common).alias("c"), F.expr("size(ish) + size(wsh)").alias("t"))
     # the threshold is applied to each pair's best window, behind the aggregate: Spark would move it into the join and shingle anew for each comparison
     return (
-        scored.select("doc_id", "item_id", F.col("n").cast("long").alias("n_words"), F.struct(F.expr("c / (t - c)").alias("s"), F.expr("-start").alias("p"), "c", "t").alias("best"))
+        scored.select("doc_id", "item_id", F.col("n").cast("long").alias("n_words"), F.struct(F.expr("c / (t - c)").alias("s"), "aligned", F.expr("-start").alias("p"), "c", "t").alias("best"))
         .groupBy("doc_id", "item_id", "n_words")
         .agg(F.max("best").alias("best"))
         .where(f"100 * best.c >= {s.least} * (best.t - best.c)")
