@@ -41,7 +41,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening of the first closes open ones of the second.
-CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option"}.items()}
+CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p"}.items()}
 LISTS = frozenset("ul ol menu dl table".split())
 
 _NEG = re.compile(
@@ -128,7 +128,8 @@ def blocks(html: str) -> list[Block]:
     here = root = Node("", None, 0)
     stack = [root]
     words: list[str] = []
-    links = in_link = skip = 0
+    links = in_link = 0
+    skip: list[tuple[str, int]] = []  # open skipped elements, and how many elements of the stack they are in
     at = 0
 
     def end() -> None:
@@ -148,6 +149,22 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 links += len(t.strip())
 
+    def shut_at(k: int) -> None:
+        """Ends stack[k] and all in it."""
+        del stack[k:]
+        for i, (name, depth) in enumerate(skip):
+            if name == "object":
+                break  # ends of elements around it do not count in it
+            if depth > k:
+                del skip[i:]
+                break
+
+    def unskip(name: str) -> None:
+        for i in range(len(skip) - 1, -1, -1):
+            if skip[i][0] == name:
+                del skip[i:]
+                break
+
     length = len(html)
     while at < length:
         m = _TAG.search(html, at)
@@ -164,9 +181,13 @@ def blocks(html: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = close.end() if close else length
         elif tag in SKIPPED:
-            skip = max(0, skip + (-1 if closing else 0 if attrs.rstrip().endswith("/") else 1))
+            again = tag == "select" and not closing and any(name == tag for name, _ in skip)  # ends the open one
+            if closing or again or tag == "button" or (skip and skip[-1][0] == tag == "option"):
+                unskip(tag)
+            if not closing and not again and not attrs.rstrip().endswith("/"):
+                skip.append((tag, len(stack)))
         elif tag == "body" and not closing:
-            skip = 0
+            skip.clear()
         elif tag == "br":
             if not skip:
                 words.append(" ")
@@ -177,7 +198,7 @@ def blocks(html: str) -> list[Block]:
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        shut_at(k)
                         break
             else:
                 if len(stack) > 1 and stack[-1].tag == "p":
@@ -188,7 +209,7 @@ def blocks(html: str) -> list[Block]:
                         if stack[k].tag in LISTS:
                             break
                         if stack[k].tag in shut:
-                            del stack[k:]
+                            shut_at(k)
                             break
                 n = _node(tag, attrs, stack[-1])
                 if (n.article or n.positive) and not n.negative:
