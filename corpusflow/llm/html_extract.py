@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Comments, declarations and tags. Possessive throughout, so broken markup costs no backtracking; the last form takes tags whose quotes do not close.
+#: Tags end at a < outside quotes, so at most three scans (outside, in double, in single quotes) pass over any character.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?+)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?+)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?+)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?+)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")

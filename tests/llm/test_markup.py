@@ -29,3 +29,17 @@ def test_open_options(head):
 def test_options_stay_out():
     got = [b.text for b in html_extract.blocks(f"<body><p>one</p><select><option>A<option>B<option>C</select><article><p>{TEXT}</p><button><svg>x</svg>go</button></article>")]
     assert got == ["one", TEXT]
+
+
+@pytest.mark.parametrize("q", "\"'")
+def test_long_attribute(q):
+    page = f"<body><div data-x={q}{'<b>xy</b>' * 200_000}{q}><article><p>{TEXT}</p></article></div>"
+    assert [b.text for b in html_extract.blocks(page)] == [TEXT]
+
+
+@pytest.mark.parametrize("piece", ["<a b=\"", "<a b='", "<a b=\"c'", "<a \"<b '", "<a b='\"' c=\"", "<a b=\"<\" '"])
+def test_open_quotes_take_linear_time(piece):
+    start = time.process_time()
+    html_extract.blocks(piece * 100_000)
+    html_extract.blocks(piece * 99_999 + "'" + "x" * 100_000)
+    assert time.process_time() - start < 20
