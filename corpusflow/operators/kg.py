@@ -5,6 +5,10 @@ Triples are (s, p, o, doc_id): one row for each document that states one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,3 +134,40 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Entities (name) of a that b lacks by resolution key."""
     key = lambda d: d.select("name", T.resolution_key("name").alias("key"))
     return key(a).join(key(b).select("key").distinct(), "key", "left_anti").select("name")
+
+
+def missing(a: DataFrame, b: DataFrame, threshold: float = 0.8, block: int = 2048) -> DataFrame:
+    """(name, nearest, similarity) of entities of a that b has neither by name nor by a best cosine of ``threshold``.
+
+    Both have (name, vec). The search is exact: each pair of blocks is one
+    matrix product in one task. Equally near names go to the first; without
+    any in b, nearest is null and the similarity -1.
+    """
+    a, b = (x.select("name", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["name"]) for x in (a, b))
+    left = a.join(b.select("name"), "name", "left_anti")
+
+    def packed(x: DataFrame, k: str, v: str, n: int) -> DataFrame:
+        return x.select(F.pmod(F.xxhash64("name"), F.lit(n)).alias(k), F.struct("name", "vec").alias("r")).groupBy(k).agg(F.collect_list("r").alias(v))
+
+    na, nb = (max(1, -(-x.count() // block)) for x in (left, b))
+    pairs = packed(left, "i", "x", na).crossJoin(packed(b, "j", "y", nb)).repartition(na * nb, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(rows: list) -> np.ndarray:
+            v = np.array([r["vec"] for r in rows])
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                y.sort(key=lambda r: r["name"])
+                p, q = unit(x), unit(y)
+                for lo in range(0, len(x), 256):
+                    sim = p[lo : lo + 256] @ q.T
+                    best = sim.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["name"] for r in x[lo : lo + 256]]), pa.array([y[k]["name"] for k in best]), pa.array(sim[np.arange(len(sim)), best])], ["name", "nearest", "similarity"])
+
+    near = pairs.select("x", "y").mapInArrow(run, "name string, nearest string, similarity double")
+    best = near.groupBy("name").agg(F.min_by(F.struct("nearest", "similarity"), F.struct(-F.round("similarity", 12), "nearest")).alias("z"))
+    out = left.select("name").join(best, "name", "left").select("name", "z.nearest", F.coalesce("z.similarity", F.lit(-1.0)).alias("similarity"))
+    return out.where(F.col("similarity") < threshold)
