@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.config import Grounding
 from corpusflow.functions import text as T
+from corpusflow.operators import vectors
 
 
 def overlap(claim: Column, chunk: Column) -> Column:
@@ -25,9 +26,12 @@ def verify(claims: DataFrame, chunks: DataFrame, c: Grounding = Grounding()) ->
     """(claim_id, chunk_id, overlap, verbatim, verified): each claim's best chunk among those of its key.
 
     Claims (claim_id, key, claim, quoted), chunks (key, chunk_id, chunk). Claims
-    below four terms never match; a quote needs a verbatim run, a paraphrase
-    enough overlap.
+    below four terms have no run and no overlap; a quote needs a verbatim run, a
+    paraphrase enough overlap. With a column ``vec`` on both sides, a paraphrase
+    without enough of it goes to the chunk of the best cosine, if that is enough.
     """
+    if "vec" in claims.columns and "vec" in chunks.columns:
+        return _with_vectors(claims, chunks, c)
     a = claims.select("claim_id", "key", "quoted", T.tokens("claim").alias("ct")).where("size(ct) >= 4")
     b = chunks.select("key", "chunk_id", T.tokens("chunk").alias("kt"))
     got = a.join(b, "key").select("claim_id", "chunk_id", "quoted", overlap(F.col("ct"), F.col("kt")).alias("overlap"), verbatim(F.col("ct"), F.col("kt"), c.verbatim_run).alias("verbatim"))
@@ -35,3 +39,15 @@ def verify(claims: DataFrame, chunks: DataFrame, c: Grounding = Grounding()) ->
     best = got.groupBy("claim_id", "quoted").agg(F.max_by(F.struct("chunk_id", "overlap", "verbatim"), F.struct(score, -F.col("chunk_id"))).alias("x")).select("claim_id", "quoted", "x.*")
     ok = F.when(F.col("quoted"), F.col("verbatim")).otherwise(F.col("overlap") + F.col("verbatim").cast("int") >= c.min_overlap)
     return best.select("claim_id", "chunk_id", "overlap", "verbatim", ok.alias("verified"))
+
+
+def _with_vectors(claims: DataFrame, chunks: DataFrame, c: Grounding) -> DataFrame:
+    lexical = verify(claims.drop("vec"), chunks.drop("vec"), c)
+    open_ = claims.where("NOT quoted").join(lexical.where("verified").select("claim_id"), "claim_id", "left_anti")
+    a = open_.select("claim_id", "key", F.col("vec").alias("cv"), T.tokens("claim").alias("ct"))
+    b = chunks.where("vec IS NOT NULL").select("key", "chunk_id", F.col("vec").alias("kv"), T.tokens("chunk").alias("kt"))
+    whole = F.size("ct") >= 4
+    got = a.where("cv IS NOT NULL").join(b, "key").withColumn("sim", vectors.cosine("cv", "kv")).where(F.col("sim") >= c.similarity)
+    said = got.select("claim_id", "sim", "chunk_id", F.when(whole, overlap(F.col("ct"), F.col("kt"))).otherwise(0.0).alias("overlap"), (whole & verbatim(F.col("ct"), F.col("kt"), c.verbatim_run)).alias("verbatim"))
+    best = said.groupBy("claim_id").agg(F.max_by(F.struct("chunk_id", "overlap", "verbatim"), F.struct(F.round("sim", 12), -F.col("chunk_id"))).alias("x")).select("claim_id", "x.*", F.lit(True).alias("verified"))
+    return lexical.join(best.select("claim_id"), "claim_id", "left_anti").unionByName(best)

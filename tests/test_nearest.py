@@ -1,6 +1,6 @@
 """Best matches by vectors: missing entities and reworded claims."""
 
-from corpusflow.operators import kg
+from corpusflow.operators import grounding, kg
 
 
 def test_missing_names_nearest(spark):
@@ -11,3 +11,20 @@ def test_missing_names_nearest(spark):
         got = {r.name: (r.nearest, round(r.similarity, 6)) for r in kg.missing(a, b, block=block).collect()}
         assert got == {"far": ("Near", 0.707107), "off": ("same", 0.707107)}
     assert {(r.nearest, r.similarity) for r in kg.missing(a, b.limit(0)).collect()} == {(None, -1.0)}
+
+
+def test_reworded_claims(spark):
+    chunks = spark.createDataFrame([(1, 7, "alpha beta gamma delta epsilon", [1.0, 0.0]), (1, 8, "zeta theta iota kappa lambda", [0.0, 1.0])], "key int, chunk_id int, chunk string, vec array<double>")
+    claims = spark.createDataFrame(
+        [
+            (1, 1, "reworded words about other greek letters", False, [0.1, 1.0]),
+            (2, 1, "reworded words about other greek letters", True, [0.1, 1.0]),
+            (3, 1, "nothing close said here anywhere today", False, [-1.0, -0.5]),
+            (4, 1, "alpha beta gamma delta", False, [0.0, 1.0]),
+            (5, 1, "short claim", False, [1.0, 0.0]),
+        ],
+        "claim_id int, key int, claim string, quoted boolean, vec array<double>",
+    )
+    got = {r.claim_id: (r.chunk_id, r.verified) for r in grounding.verify(claims, chunks).collect()}
+    assert {k: v for k, v in got.items() if v[1]} == {1: (8, True), 4: (7, True), 5: (7, True)}
+    assert not got[2][1] and not got[3][1]
