@@ -1,13 +1,15 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text. A linear classifier over a block's words, links
-and ancestors gives each its cost of being called content or boilerplate; the
-costs are capacities of edges from the source and to the sink, and blocks that
-are neighbours in page order or near each other in the element tree are joined
-by smoothness edges. The minimum cut, found by maximum flow, is the labelling
-of least cost. Blocks whose own cost is at least that of all their edges keep
-their label in some minimum cut, so they are settled first and only the rest
-goes through the flow.
+A page becomes blocks of text. A linear classifier over a block's words, links,
+tag and the names around it gives each its cost of being called content or
+boilerplate; the costs are capacities of edges from the source and to the sink.
+Smoothness edges join blocks that are neighbours in page order or in the
+element tree, and every block of an article to a node that stands for its
+article element. So a short line, a list or a line of links takes the label of
+what surrounds it, which its own costs could not give. The minimum cut, found
+by maximum flow, is the labelling of least cost. Nodes whose own cost is at
+least that of all their edges keep their label in some minimum cut, so they
+are settled first and only the rest goes through the flow.
 
 Pages are handled row by row, nothing is shuffled. Null html and pages without
 content have empty text; repeated rows get the same text; an empty table gives
@@ -58,18 +60,21 @@ _END = re.compile(r"[.!?…:;\"'”’)]\s*$")
 class Weights:
     """Log-odds of content for each sign, and the strengths of the smoothness edges."""
 
-    base: float = -0.6
-    in_article: float = 6.0
-    positive_name: float = 1.5
-    negative: float = -12.0
+    base: float = -1.2
+    positive_name: float = 0.8
+    negative: float = -6.0
     heading: float = 0.6
-    paragraph: float = 1.2
+    paragraph: float = 0.8
     sentence: float = 0.5
     per_word: float = 0.06
     most_words: float = 3.0
     links: float = -4.0
+    #: edges to the next block, to the next block of one parent and one tag, and to the node of the article
     adjacent: float = 0.6
-    sibling: float = 0.8
+    sibling: float = 1.2
+    section: float = 5.5
+    #: what speaks for an article element itself
+    article: float = 4.0
     last_resort: float = 2.0
 
 
@@ -91,6 +96,7 @@ class Block:
     link_chars: int
     score: float = 0.0
     edges: dict[int, float] = field(default_factory=dict)
+    article: Node | None = None
 
 
 _NEG_TAGS = frozenset("nav aside footer form dialog menu search".split())
@@ -227,27 +233,30 @@ def blocks(html: str) -> list[Block]:
 
 
 def classify(bs: list[Block], w: Weights) -> None:
-    memo: dict[int, float] = {}
+    """Log-odds of each block's being content, and the article element that it is in, if no boilerplate one is between."""
+    memo: dict[int, tuple[float, Node | None]] = {}
 
-    def above(n: Node | None) -> float:
-        """What the ancestors say: a boilerplate one outweighs all; one around the article says nothing."""
+    def above(n: Node | None) -> tuple[float, Node | None]:
+        """What the ancestors' names say: a boilerplate one outweighs all; one around an article says nothing."""
         path = []
         while n is not None and id(n) not in memo:
             path.append(n)
             n = n.parent
-        got = memo[id(n)] if n is not None else 0.0
+        got, article = memo[id(n)] if n is not None else (0.0, None)
         for n in reversed(path):
             if n.negative and not n.holds_article:
-                got = w.negative
+                got, article = w.negative, None
             elif got > w.negative:
-                got = max(got, w.in_article if n.article else w.positive_name if n.positive else got)
-            memo[id(n)] = got
-        return got
+                got = max(got, w.positive_name if n.positive else got)
+                article = n if n.article else article
+            memo[id(n)] = got, article
+        return got, article
 
     for b in bs:
         n = b.text.count(" ") + 1
         tag = b.node.tag
-        s = w.base + above(b.node) + min(w.most_words, w.per_word * n) + w.links * b.link_chars / len(b.text)
+        names, b.article = above(b.node)
+        s = w.base + names + min(w.most_words, w.per_word * n) + w.links * b.link_chars / len(b.text)
         if tag in ("p", "blockquote", "pre", "td", "figcaption"):
             s += w.paragraph
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
@@ -257,16 +266,21 @@ def classify(bs: list[Block], w: Weights) -> None:
         b.score = s
 
 
-def connect(bs: list[Block], w: Weights) -> None:
-    """Edges to the next block and to the next block of the same parent element; weaker with each step in the tree between."""
-    last: dict[int, int] = {}
+def connect(bs: list[Block], w: Weights) -> list[Block]:
+    """The blocks and behind them a node for each article, with their edges.
+
+    Edges go to the next block, the weaker the more steps in the tree are
+    between, to the next block of the same tag and parent, and to the article.
+    """
+    last: dict[tuple[int, str], int] = {}
+    nodes, hubs = list(bs), {}
 
     def join(i: int, j: int, x: float) -> None:
-        bs[i].edges[j] = bs[i].edges.get(j, 0.0) + x
-        bs[j].edges[i] = bs[j].edges.get(i, 0.0) + x
+        nodes[i].edges[j] = nodes[i].edges.get(j, 0.0) + x
+        nodes[j].edges[i] = nodes[j].edges.get(i, 0.0) + x
 
     for j, b in enumerate(bs):
-        group = id(b.node.parent) if b.node.parent else 0
+        group = (id(b.node.parent), b.node.tag)
         if j:
             a, c, steps = bs[j - 1].node, b.node, 0
             while a is not c and steps < 12:
@@ -279,10 +293,16 @@ def connect(bs: list[Block], w: Weights) -> None:
         if group in last:
             join(last[group], j, w.sibling)
         last[group] = j
+        if b.article is not None:
+            if id(b.article) not in hubs:
+                hubs[id(b.article)] = len(nodes)
+                nodes.append(Block(b.article, "", 0, w.article))
+            join(hubs[id(b.article)], j, w.section)
+    return nodes
 
 
 def cut(bs: list[Block]) -> list[bool]:
-    """Which blocks lie on the source's side (content) of a minimum cut."""
+    """Which nodes lie on the source's side (content) of a minimum cut."""
     n = len(bs)
     label: list[bool | None] = [None] * n
     score, edges = [b.score for b in bs], [dict(b.edges) for b in bs]
@@ -304,33 +324,61 @@ def cut(bs: list[Block]) -> list[bool]:
     return [bool(x) for x in label]
 
 
+_EPS = 1e-9
+
+
 def max_flow(score: dict[int, float], edges: dict[int, dict[int, float]]) -> set[int]:
-    """Shortest augmenting paths; returns the nodes that the source still reaches."""
-    s, t = -1, -2
-    cap: dict[int, dict[int, float]] = {s: {}, t: {}}
-    for i, es in edges.items():
-        cap[i] = dict(es)
-    for i, x in score.items():
-        cap[s][i], cap[i][s] = max(x, 0.0), 0.0
-        cap[i][t], cap[t][i] = max(-x, 0.0), 0.0
+    """Blocking flows over shortest paths; returns the nodes that the source still reaches.
+
+    Nodes of positive score are fed by the source, of negative score drained by
+    the sink; what is left of either is kept as the node's supply or demand.
+    """
+    cap = {i: dict(es) for i, es in edges.items()}
+    supply = {i: x for i, x in score.items() if x > _EPS}
+    demand = {i: -x for i, x in score.items() if x < -_EPS}
     while True:
-        back, queue = {s: s}, deque([s])
-        while queue and t not in back:
+        level = dict.fromkeys(supply, 0)
+        queue, deep = deque(supply), None
+        while queue:
             i = queue.popleft()
+            if i in demand:
+                deep = level[i] if deep is None else deep
+            if deep is not None and level[i] >= deep:
+                continue
             for j, c in cap[i].items():
-                if c > 1e-9 and j not in back:
-                    back[j] = i
+                if c > _EPS and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if t not in back:
-            return set(back) - {s}
-        path, j = [], t
-        while j != s:
-            path.append((back[j], j))
-            j = back[j]
-        flow = min(cap[i][j] for i, j in path)
-        for i, j in path:
-            cap[i][j] -= flow
-            cap[j][i] += flow
+        if deep is None:
+            return set(level)
+        ways, at = {i: list(cap[i]) for i in level}, dict.fromkeys(level, 0)
+        for s in list(supply):
+            path = [s]
+            while path:
+                i = path[-1]
+                if i in demand:
+                    flow = min(supply[s], demand[i], *(cap[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    for a, b in zip(path, path[1:], strict=False):
+                        cap[a][b] -= flow
+                        cap[b][a] += flow
+                    for of, k in ((supply, s), (demand, i)):
+                        of[k] -= flow
+                        if of[k] <= _EPS:
+                            del of[k]
+                    if s not in supply:
+                        break
+                    for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                        if cap[a][b] <= _EPS:
+                            del path[k + 1 :]
+                            break
+                    continue
+                while at[i] < len(ways[i]) and not (cap[i][ways[i][at[i]]] > _EPS and level.get(ways[i][at[i]]) == level[i] + 1):
+                    at[i] += 1
+                if at[i] < len(ways[i]):
+                    path.append(ways[i][at[i]])
+                else:
+                    path.pop()  # nothing more goes through i in this phase
+                    level[i] = -1
 
 
 def extract(html: str | None, w: Weights = Weights()) -> tuple[str, int, int]:
@@ -339,12 +387,12 @@ def extract(html: str | None, w: Weights = Weights()) -> tuple[str, int, int]:
     if not bs:
         return "", 0, 0
     classify(bs, w)
-    connect(bs, w)
-    ok = cut(bs)
+    nodes = connect(bs, w)
+    ok = cut(nodes)[: len(bs)]
     if not any(ok):  # no block speaks for itself: what no ancestor speaks against
         for b in bs:
             b.score += w.last_resort
-        ok = cut(bs)
+        ok = cut(nodes)[: len(bs)]
     kept = [b.text for b, good in zip(bs, ok, strict=True) if good]
     return "\n".join(kept), len(bs), len(kept)
 
