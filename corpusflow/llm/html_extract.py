@@ -4,8 +4,8 @@ A page becomes blocks of text. A linear classifier over a block's words, links,
 tag and the names around it gives each its cost of being called content or
 boilerplate; the costs are capacities of edges from the source and to the sink.
 Smoothness edges join blocks that are neighbours in page order or in the
-element tree, and every block of an article to a node that stands for its
-article element. So a short line, a list or a line of links takes the label of
+element tree, and a node that stands for an article element to each of its blocks.
+So a short line, a list or a line of links takes the label of
 what surrounds it, which its own costs could not give. The minimum cut, found
 by maximum flow, is the labelling of least cost. Nodes whose own cost is at
 least that of all their edges keep their label in some minimum cut, so they
@@ -69,12 +69,12 @@ class Weights:
     per_word: float = 0.06
     most_words: float = 3.0
     links: float = -4.0
-    #: edges to the next block, to the next block of one parent and one tag, and to the node of the article
+    #: edges to the next block, to the next block of one parent and one tag, and from an article's node to its blocks
     adjacent: float = 0.6
     sibling: float = 1.2
     section: float = 5.5
-    #: what speaks for an article element itself
-    article: float = 4.0
+    #: what each block adds to what speaks for its article: less than short links speak against it
+    article: float = 4.5
     last_resort: float = 2.0
 
 
@@ -270,14 +270,15 @@ def connect(bs: list[Block], w: Weights) -> list[Block]:
     """The blocks and behind them a node for each article, with their edges.
 
     Edges go to the next block, the weaker the more steps in the tree are
-    between, to the next block of the same tag and parent, and to the article.
+    between, and to the next block of the same tag and parent. An article that
+    is content holds its blocks; text in one that is not stands for itself.
     """
     last: dict[tuple[int, str], int] = {}
     nodes, hubs = list(bs), {}
 
     def join(i: int, j: int, x: float) -> None:
-        nodes[i].edges[j] = nodes[i].edges.get(j, 0.0) + x
-        nodes[j].edges[i] = nodes[j].edges.get(i, 0.0) + x
+        for a, b in ((i, j), (j, i)):
+            nodes[a].edges[b] = nodes[a].edges.get(b, 0.0) + x
 
     for j, b in enumerate(bs):
         group = (id(b.node.parent), b.node.tag)
@@ -296,29 +297,39 @@ def connect(bs: list[Block], w: Weights) -> list[Block]:
         if b.article is not None:
             if id(b.article) not in hubs:
                 hubs[id(b.article)] = len(nodes)
-                nodes.append(Block(b.article, "", 0, w.article))
-            join(hubs[id(b.article)], j, w.section)
+                nodes.append(Block(b.article, "", 0))
+            hub = nodes[hubs[id(b.article)]]
+            hub.score += w.article
+            hub.edges[j] = w.section
     return nodes
 
 
 def cut(bs: list[Block]) -> list[bool]:
-    """Which nodes lie on the source's side (content) of a minimum cut."""
+    """Which nodes lie on the source's side (content) of a minimum cut; ``edges[j]`` is paid where a node is content and j is not."""
     n = len(bs)
     label: list[bool | None] = [None] * n
-    score, edges = [b.score for b in bs], [dict(b.edges) for b in bs]
+    score, out = [b.score for b in bs], [dict(b.edges) for b in bs]
+    into: list[dict[int, float]] = [{} for _ in bs]
+    for i, es in enumerate(out):
+        for j, x in es.items():
+            into[j][i] = x
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if label[i] is None and abs(score[i]) >= sum(edges[i].values()):
+        if label[i] is None and (score[i] >= sum(out[i].values()) or -score[i] >= sum(into[i].values())):
             label[i] = score[i] > 0
-            for j, x in edges[i].items():
-                del edges[j][i]
-                score[j] += x if label[i] else -x
+            for j, x in out[i].items():
+                del into[j][i]
+                score[j] += x if label[i] else 0.0
                 todo.append(j)
-            edges[i] = {}
+            for j, x in into[i].items():
+                del out[j][i]
+                score[j] -= 0.0 if label[i] else x
+                todo.append(j)
+            out[i], into[i] = {}, {}
     free = [i for i in range(n) if label[i] is None]
     if free:
-        side = max_flow({i: score[i] for i in free}, {i: edges[i] for i in free})
+        side = max_flow({i: score[i] for i in free}, {i: out[i] for i in free})
         for i in free:
             label[i] = i in side
     return [bool(x) for x in label]
@@ -334,6 +345,9 @@ def max_flow(score: dict[int, float], edges: dict[int, dict[int, float]]) -> set
     the sink; what is left of either is kept as the node's supply or demand.
     """
     cap = {i: dict(es) for i, es in edges.items()}
+    for i, es in edges.items():
+        for j in es:
+            cap[j].setdefault(i, 0.0)
     supply = {i: x for i, x in score.items() if x > _EPS}
     demand = {i: -x for i, x in score.items() if x < -_EPS}
     while True:
