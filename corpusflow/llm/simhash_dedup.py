@@ -1,16 +1,23 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Fingerprints of 3-word shingles link at ``radius`` or fewer differing bits.
-Only distinct fingerprints are compared. Cutting them into ``radius + 2``
-blocks, two linked ones agree on at least two blocks, so each pair of blocks
-gives a table whose equal keys bring all linked fingerprints together. There,
-every fingerprint carries its Hamming distances to ``pivots`` reference
-fingerprints; by the triangle inequality a pair whose distances to any pivot
-differ by more than the radius is discarded, and the survivors are verified.
-Large groups are first cut along the pivots' distances, in overlapping strips
-as wide as the radius, so work follows the pairs that are near. A group gives
-a forest of its links, never all pairs; copies of a fingerprint meet only in
-aggregates and in a join that can be split.
+Only distinct fingerprints are compared. A table holds every fingerprint's
+Hamming distances to ``pivots`` reference fingerprints, taken for each of
+``radius + 2`` parts of the fingerprint. By the triangle inequality a
+coordinate of two linked fingerprints differs by no more bits than the part
+does, so all coordinates of at least two parts are equal: rows of the table
+meet where the coordinates of a pair of parts are. Of those that meet, a pair
+is discarded where any coordinate, of a part or the sum of all, differs by more
+than the radius, and the survivors are verified. Large groups are first cut
+along the distances to whole pivots, in overlapping strips as wide as the
+radius, so work follows the pairs that are near. A group gives a forest of its
+links, never all pairs; copies of a fingerprint meet only in aggregates and in
+a join that can be split.
+
+Cells of distances to whole fingerprints as keys would be exact too, but a
+pivot tells random fingerprints apart by about one bit and then puts a fifth of
+them into two cells: 2 ** 24 cells need some 70 rows for each fingerprint, where
+pairs of parts need six, however many there are.
 
 Null and empty texts have fingerprint zero and link like any other; repeated
 rows keep their fingerprint and component; an empty table gives no rows; extra
@@ -74,9 +81,15 @@ def pivot_set(s: Settings) -> np.ndarray:
     return np.random.default_rng(s.seed).integers(0, 1 << 63, s.pivots, np.uint64) * np.uint64(2) + np.arange(s.pivots, dtype=np.uint64) % np.uint64(2)
 
 
-def distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivot table: a row for each pivot."""
-    return np.bitwise_count(fp[None, :] ^ pivots[:, None]).astype(np.int8)
+def parts(s: Settings) -> list[int]:
+    """Masks of the parts of a fingerprint: every so many bits, so that parts are even whatever bits texts share."""
+    n = s.radius + 2
+    return [sum(1 << k for k in range(64) if k % n == i) for i in range(n)]
+
+
+def distances(fp: np.ndarray, pivots: np.ndarray, masks: list[int] = [(1 << 64) - 1]) -> np.ndarray:  # noqa: B006
+    """The pivot table, a row for each pivot and part."""
+    return np.concatenate([np.bitwise_count((fp[None, :] ^ pivots[:, None]) & np.uint64(m)).astype(np.int8) for m in masks])
 
 
 def _verify(fp: np.ndarray, d: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +143,15 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, i
 
 def _links(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal keys of sorted rows (t, key, fp)."""
-    pivots = pivot_set(s)
+    pivots, masks = pivot_set(s), parts(s)
     rest = [np.empty(0, np.int64)] * 3
 
     def linked(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         u = fp.view(np.uint64)
+        own = distances(u, pivots, masks)
         edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]), [True]])) if len(t) else np.zeros(1, np.int64)
         size = np.diff(edge)
-        d = distances(u, pivots)
+        d = np.concatenate([own.reshape(len(masks), len(pivots), -1).sum(0, dtype=np.int8), own])
         a, b = [], []
         run = np.repeat(np.arange(len(size)), size)
         small = (size <= 16)[run] if len(size) else np.empty(0, bool)
@@ -169,13 +183,13 @@ def _links(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
 
 def links(fps: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b): links whose transitive closure is that of all pairs of distinct fingerprints ``fp`` within the radius."""
-    n = s.radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    block = [F.shiftrightunsigned("fp", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) for k in range(n)]
-    tables = [F.struct(F.lit(k).cast("long").alias("t"), F.shiftleft(block[i], cuts[j + 1] - cuts[j]).bitwiseOR(block[j]).alias("key"), "fp") for k, (i, j) in enumerate(combinations(range(n), 2))]
-    rows = fps.select(F.explode(F.array(*tables)).alias("x")).select("x.*")
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(lambda b: _links(b, s), "a long, b long")
+    pivots, masks = ([x - (1 << 64) if x >> 63 else x for x in xs] for xs in (pivot_set(s).tolist(), parts(s)))
+    coordinates = [F.array(*(F.bit_count(F.col("fp").bitwiseXOR(p).bitwiseAND(m)) for p in pivots)) for m in masks]
+    table = fps.select("fp", F.array(*coordinates).alias("d"))
+    tables = [F.struct(F.lit(k).cast("long").alias("t"), F.xxhash64(F.col("d")[i], F.col("d")[j]).alias("key"), "fp") for k, (i, j) in enumerate(combinations(range(len(masks)), 2))]
+    rows = table.select(F.explode(F.array(*tables)).alias("x")).select("x.*")
+    count = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(count, "t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(lambda b: _links(b, s), "a long, b long")
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
