@@ -18,7 +18,7 @@ are ordered by most-significant-digit passes that stop there:
    next digit, and then each window that is left is a digit of its own.
 
 Counts are combined before every shuffle, and joins on anchors can be split.
-Copies of a text share one key, the text's hash, and one list of spans.
+Copies of a text share one key, the text's hash and length, and one list of spans.
 Null and empty texts and texts below ``depth`` bytes keep all they have;
 repeated rows are copies of each other; an empty table gives no rows; extra
 columns are ignored.
@@ -95,7 +95,7 @@ def anchors(b: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    names = ["ah", "ch", "doc_id", "th", "p"]
+    names = ["ah", "ch", "doc_id", "th", "size", "p"]
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -114,7 +114,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.
                 out[0].append(np.concatenate([ah for _, _, ah in found])[one])
                 out[2].append(np.full(len(at), -1 if doc is None else doc, np.int64))
                 out[3].append(np.full(len(at), th, np.int64))
-                out[4].append(at.astype(np.int32))
+                out[4].append(np.full(len(at), n, np.int32))
+                out[5].append(at.astype(np.int32))
             if ctx:
                 cols = [pa.array(np.concatenate(x)) if x else None for x in out]
                 cols[1] = pa.array(np.array(ctx, np.uint64).view(np.int64))
@@ -234,10 +235,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed before they are shuffled: (doc_id, th, z)."""
+    """Texts compressed before they are shuffled: (doc_id, th, size, z)."""
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([z.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "th", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([z.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "th", "size", "z"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -285,18 +286,18 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"), F.octet_length(F.coalesce(text, F.lit(""))).alias("size"))
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
-    return _keyed(docs, text).mapInArrow(_small, "doc_id long, th long, z binary")
+    return _keyed(docs, text).mapInArrow(_small, "doc_id long, th long, size int, z binary")
 
 
 def _contexts(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataFrame:
     """(ah, ch, left, n, ctx): one context for each kind, cut from the text that stands for it."""
-    need = kinds.select("ah", "ch", "n", "g", "rep.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "ch", "n", "g", "p")).alias("x"))
+    need = kinds.select("ah", "ch", "n", "g", "rep.*").groupBy("doc_id", "th", "size").agg(F.collect_list(F.struct("ah", "ch", "n", "g", "p")).alias("x"))
     texts = _packed(docs, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
-    return texts.join(need, ["doc_id", "th"]).select("z", "x").mapInArrow(lambda b: _context_rows(b, s), "ah int, ch long, left int, n long, ctx binary, g long").drop("g")
+    return texts.join(need, ["doc_id", "th", "size"]).select("z", "x").mapInArrow(lambda b: _context_rows(b, s), "ah int, ch long, left int, n long, ctx binary, g long").drop("g")
 
 
 def _gathered(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataFrame:
@@ -309,31 +310,32 @@ def _counted(docs: DataFrame, kinds: DataFrame, s: Settings, text: str) -> DataF
     """Spans (ah, ch, a, b) from larger buckets: digits are hashed where the contexts are and counted anywhere."""
     big = stored(_contexts(docs, kinds, s, text))
     cores = stored(big.mapInArrow(lambda b: _core_rows(b, s), "ah int, ch long, n long, r int, w long").distinct())
-    alike = cores.groupBy("ah", "r", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    # stored, as in spans: a join of an aggregate with its own input keeps a hot anchor's rows in one task
+    alike = stored(cores.groupBy("ah", "r", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
     live = cores.join(alike, ["ah", "r", "w"]).groupBy("ah", "ch").agg(F.collect_set("r").alias("rs"))
     digits = stored(big.join(live, ["ah", "ch"]).select("ah", "ch", "left", "n", "ctx", "rs").mapInArrow(lambda b: _window_rows(b, s), "ah int, ch long, n long, o int, w long").distinct())
-    twice = digits.groupBy("ah", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    twice = stored(digits.groupBy("ah", "o", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
     return digits.where("n = 1").join(twice, ["ah", "o", "w"]).groupBy("ah", "ch").agg((-F.max("o")).alias("a"), (F.lit(s.depth) - F.min("o")).alias("b"))
 
 
 def spans(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
-    """(th, a, b): of each text, by its hash, lists of begins and ends of spans to remove; texts without any are left out."""
-    rows = stored(_keyed(docs, text).mapInArrow(lambda b: _anchor_rows(b, s), "ah int, ch long, doc_id long, th long, p int"))
+    """(th, size, a, b): of each text, by its hash and length, lists of begins and ends of spans to remove; texts without any are left out."""
+    rows = stored(_keyed(docs, text).mapInArrow(lambda b: _anchor_rows(b, s), "ah int, ch long, doc_id long, th long, size int, p int"))
     # counts are stored, so that both sides of the joins on anchors are plain tables and a hot anchor's rows can be split
     more = stored(rows.groupBy("ah").agg(F.count("*").alias("c")).where("c > 1").select("ah"))
     rows = stored(rows.join(more, "ah"))
-    each = stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("rep")))
+    each = stored(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "size", "p")).alias("rep")))
     kinds = each.join(stored(each.groupBy("ah").agg(F.count("*").alias("g"))), "ah")
     found = _gathered(docs, kinds.where(F.col("g").between(2, s.bucket)), s, text)
     if not kinds.where(F.col("g") > s.bucket).isEmpty():
         found = found.unionByName(_counted(docs, kinds.where(F.col("g") > s.bucket), s, text))
-    part = rows.join(found, ["ah", "ch"]).select("th", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
-    whole = rows.join(each.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", F.greatest(F.col("p") - s.reach, F.lit(0)).alias("a"), (F.col("p") + s.depth).alias("b"))
+    part = rows.join(found, ["ah", "ch"]).select("th", "size", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"))
+    whole = rows.join(each.where("n > 1").select("ah", "ch"), ["ah", "ch"]).select("th", "size", F.greatest(F.col("p") - s.reach, F.lit(0)).alias("a"), (F.col("p") + s.depth).alias("b"))
     flat = whole.unionByName(part).distinct()
-    return flat.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("th", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    return flat.groupBy("th", "size").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("th", "size", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    found = _packed(docs, text).join(spans(docs, s, text), "th", "left").select("doc_id", "z", "a", "b")
+    found = _packed(docs, text).join(spans(docs, s, text), ["th", "size"], "left").select("doc_id", "z", "a", "b")
     return found.mapInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
