@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Uses the cluster's shared ``spark.checkpoint.dir``; where none is set, a folder of our own in local mode and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,11 +47,22 @@ def fold(id_col: str | Column, mod: int) -> Column:
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")) % F.lit(mod)
 
 
-def sampled(docs: DataFrame, ids: DataFrame, bound: int) -> DataFrame:
+def sampled(docs: DataFrame, ids: DataFrame, bound: int, most_bytes: int | None = None, text: str = "text") -> DataFrame:
     """The rows of at most ``bound`` distinct ids, the first by a hash: a bounded sample for fitting, the same on every run.
 
     Only ids are sorted; they are broadcast, as their number is bounded, and of
-    rows that share an id one is taken.
+    rows that share an id the first by text is taken. ``most_bytes`` bounds the
+    sample's whole texts together by taking fewer rows, in the same order; a
+    text longer than a sixteenth of it is passed over. Texts are never cut.
     """
     some = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    got = docs.join(F.broadcast(some), "doc_id")
+    if most_bytes is not None:
+        got = got.where(F.octet_length(text) <= most_bytes // 16)
+    others = [c for c in got.columns if c != "doc_id"]
+    got = got.groupBy("doc_id").agg(F.min(F.struct(text, *(c for c in others if c != text))).alias("_row")).select("doc_id", *(F.col(f"_row.{c}").alias(c) for c in others))
+    if most_bytes is not None:
+        # one task sees at most ``bound`` rows
+        upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        got = got.withColumn("_bytes", F.sum(F.octet_length(text)).over(upto)).where(F.col("_bytes") <= most_bytes).drop("_bytes")
+    return got

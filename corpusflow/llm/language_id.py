@@ -4,7 +4,7 @@ Each language has a codeword; a binary classifier over hashed letter n-grams
 predicts each bit, and a text gets the language whose codeword has the least
 exponential loss against the bits' margins. A text whose two best codewords
 lie close is flagged as ambiguous. The classifiers are fitted on the driver on
-a bounded sample (``Settings.sample``), then applied to whole texts, row by
+a bounded sample of whole texts (``Settings.sample``), then applied to whole texts, row by
 row, without any shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0; repeated rows
@@ -30,9 +30,9 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Settings:
-    #: labelled rows fitted on at most, and characters of each that are used in fitting (scoring uses whole texts)
+    #: labelled rows fitted on at most, and bytes of their whole texts together
     sample: int = 2000
-    fit_chars: int = 2000
+    sample_bytes: int = 16 << 20
     dims: int = 1 << 12
     bits: int = 15
     epochs: int = 150
@@ -91,7 +91,7 @@ def fit(rows: list[tuple[str, str]], s: Settings = Settings()) -> Model:
     w, b = np.zeros((s.dims, s.bits), np.float32), np.zeros(s.bits, np.float32)
     if not rows:
         return Model(langs, codes, w, b, 1.0, s.dims, s.margin)
-    x = np.stack([features(t[: s.fit_chars], s.dims) for t, _ in rows])
+    x = np.stack([features(t, s.dims) for t, _ in rows])
     y = codes[[langs.index(lang) for _, lang in rows]]
     # rare languages weigh as much as common ones
     _, inv, n = np.unique([lang for _, lang in rows], return_inverse=True, return_counts=True)
@@ -142,5 +142,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def train(labelled: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on a bounded sample of (doc_id, text, lang) rows with a language."""
     known = labelled.where("lang IS NOT NULL")
-    rows = sampled(known.select("doc_id", F.substring("text", 1, s.fit_chars).alias("text"), "lang"), known, s.sample).orderBy("doc_id").collect()
+    rows = sampled(known.select("doc_id", "text", "lang").where("text <> ''"), known, s.sample, s.sample_bytes).orderBy("doc_id").collect()
     return fit([(r.text, r.lang) for r in rows], s)

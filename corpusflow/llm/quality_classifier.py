@@ -6,8 +6,8 @@ whole length, and the difference of the two sizes over their sum, calibrated
 by a logistic curve fitted on labelled rows kept out of the dictionaries, is
 its score: the probability of label 1.
 
-Fitting uses a bounded sample on the driver (``Settings.sample`` rows for each
-label, ``fit_bytes`` of each); scoring is row by row without a shuffle. Null and
+Fitting uses a bounded sample of whole texts on the driver (``Settings.sample``
+rows and ``sample_bytes`` for each label); scoring is row by row without a shuffle. Null and
 empty texts get the share of label 1 among fitted rows; repeated rows get the same
 score; an empty table gives no rows; extra columns are ignored. With fewer than
 two labels every score is that share (0.5 without any label).
@@ -30,10 +30,13 @@ from corpusflow.llm.common import sampled
 
 @dataclass(frozen=True)
 class Settings:
-    #: labelled rows of either label fitted on at most, and characters of each that are used in fitting
+    #: labelled rows of either label fitted on at most, and bytes of their whole texts together
     sample: int = 2000
-    fit_chars: int = 4000
+    sample_bytes: int = 12 << 20
     dict_bytes: int = 64 << 10
+    #: bytes of a piece that a dictionary is built from, and pieces of a text, spread over all of it
+    piece: int = 512
+    pieces: int = 8
     block: int = 1024
     level: int = 3
     #: share of the sample that is kept for the calibration
@@ -54,7 +57,11 @@ class Model:
 
 
 def _dictionary(texts: list[bytes], s: Settings) -> bytes:
-    pieces = [t[i : i + 512] for t in texts for i in range(0, len(t), 512)]
+    pieces = []
+    for t in texts:
+        n = -(-len(t) // s.piece)
+        k = min(n, s.pieces)  # spread evenly from the text's begin to its end, so that long texts do not fill the dictionary
+        pieces += [t[i * s.piece : (i + 1) * s.piece] for i in ((j * (n - 1) // max(k - 1, 1)) for j in range(k))]
     try:
         return zstandard.train_dictionary(s.dict_bytes, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the samples themselves
@@ -113,8 +120,8 @@ def fit(good: list[str], bad: list[str], share: float, s: Settings = Settings())
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on a bounded sample of either label: texts from ``docs``, (doc_id, quality) from ``labels``."""
     n = {r.quality: r["count"] for r in labels.where("quality IN (0, 1)").groupBy("quality").count().collect()}
-    texts = docs.select("doc_id", F.substring("text", 1, s.fit_chars).alias("text")).where("text <> ''")
-    xs = {q: [r.text for r in sampled(texts, labels.where(F.col("quality") == q), s.sample).orderBy(F.xxhash64("doc_id")).collect()] for q in (1, 0)}
+    texts = docs.select("doc_id", "text").where("text <> ''")
+    xs = {q: [r.text for r in sampled(texts, labels.where(F.col("quality") == q), s.sample, s.sample_bytes).orderBy(F.xxhash64("doc_id")).collect()] for q in (1, 0)}
     total = sum(n.values())
     return fit(xs[1], xs[0], n.get(1, 0) / total if total else 0.5, s)
 

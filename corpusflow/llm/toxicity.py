@@ -9,8 +9,8 @@ text's score is the calibrated score of its worst window.
 Embeddings start from the smoothed log-odds of words and trigrams in the
 labelled texts. Texts are labelled as a whole, so training alternates between
 choosing each text's worst windows and fitting the network to them by Adam,
-on the driver, over a bounded sample (``Settings.sample`` rows of either
-label). A logistic curve over texts kept out of the fit calibrates the score.
+on the driver, over a bounded sample of whole texts (``Settings.sample`` rows
+and ``sample_bytes`` of either label). A logistic curve over texts kept out of the fit calibrates the score.
 
 Scoring is row by row without a shuffle. Null and empty texts and texts
 without a word get the share of label 1 as their score; repeated rows get
@@ -35,9 +35,9 @@ from corpusflow.llm.quality_classifier import logistic
 
 @dataclass(frozen=True)
 class Settings:
-    #: labelled rows of either label fitted on at most, and characters of each used in fitting
+    #: labelled rows of either label fitted on at most, and bytes of their whole texts together
     sample: int = 1500
-    fit_chars: int = 20_000
+    sample_bytes: int = 8 << 20
     word_buckets: int = 1 << 20
     char_buckets: int = 1 << 12
     dims: int = 4
@@ -310,8 +310,8 @@ def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fits on a bounded sample of either label: texts from ``docs``, (doc_id, toxic) from ``labels``."""
     n = {r.toxic: r["count"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
-    texts = docs.select("doc_id", F.substring("text", 1, s.fit_chars).alias("text")).where("text <> ''")
-    rows = [(r.text, q) for q in (0, 1) for r in sampled(texts, labels.where(F.col("toxic") == q), s.sample).orderBy(F.xxhash64("doc_id")).collect()]
+    texts = docs.select("doc_id", "text").where("text <> ''")
+    rows = [(r.text, q) for q in (0, 1) for r in sampled(texts, labels.where(F.col("toxic") == q), s.sample, s.sample_bytes).orderBy(F.xxhash64("doc_id")).collect()]
     total = sum(n.values())
     return fit(rows, n.get(1, 0) / total if total else 0.0, s)
 
