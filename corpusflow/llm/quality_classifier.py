@@ -56,16 +56,19 @@ class Model:
     threshold: float
 
 
+def pieces(text: bytes, s: Settings) -> list[bytes]:
+    """Pieces of a text, spread evenly from its begin to its end, so that long texts do not fill a dictionary."""
+    n = -(-len(text) // s.piece)
+    k = min(n, s.pieces)
+    return [text[i * s.piece : (i + 1) * s.piece] for i in (j * (n - 1) // max(k - 1, 1) for j in range(k))]
+
+
 def _dictionary(texts: list[bytes], s: Settings) -> bytes:
-    pieces = []
-    for t in texts:
-        n = -(-len(t) // s.piece)
-        k = min(n, s.pieces)  # spread evenly from the text's begin to its end, so that long texts do not fill the dictionary
-        pieces += [t[i * s.piece : (i + 1) * s.piece] for i in ((j * (n - 1) // max(k - 1, 1)) for j in range(k))]
+    every = [x for t in texts for x in pieces(t, s)]
     try:
-        return zstandard.train_dictionary(s.dict_bytes, pieces).as_bytes()
+        return zstandard.train_dictionary(s.dict_bytes, every).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the samples themselves
-        return b"".join(pieces)[-s.dict_bytes :]
+        return b"".join(every)[-s.dict_bytes :]
 
 
 class Scorer:

@@ -59,9 +59,12 @@ def random_strings(spark: SparkSession, s: Settings = Settings()) -> DataFrame:
 
 
 def corpus_samples(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
-    """(value, label): values that the base patterns find are random strings, words without digits ordinary identifiers (as written, and in capitals)."""
+    """(value, label): long values that any base pattern finds are random strings, words without digits ordinary identifiers (as written, and in capitals)."""
     some = sampled(docs.select("doc_id", text), docs, s.sample)
-    found = some.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{24,}\b"), F.lit(0))).alias("value")).withColumn("label", F.lit(1))
+    every = [(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{24,}\b", 0), (ACCESS, 0), (ASSIGN, 2)]
+    values = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in every))
+    # short values of assignments are often words
+    found = some.select(F.explode(values).alias("value")).where(f"length(value) >= {s.min_chars} AND value RLIKE '[0-9]' AND value RLIKE '[A-Za-z]'").withColumn("label", F.lit(1))
     words = some.select(F.explode(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_]{4,}\b"), F.lit(0))).alias("value")).distinct()
     return found.unionByName(words.select(F.explode(F.array("value", F.upper("value"))).alias("value"), F.lit(0).alias("label")))
 
