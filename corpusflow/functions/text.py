@@ -16,6 +16,10 @@ STOPWORDS = (
 #: Headings of reference lists.
 REF_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "citations")
 
+#: Months by their first letters, and years that count as dates.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec "
+YEAR = r"(?:1[6-9]|20)\d\d"
+#: Fixed value: names that are chemical formulas.
 _FORMULA = r"^(?=.*\d)(?:[A-Z][a-z]?\d*|[()\[\]·.+\-]|\d)+$"
 
 
@@ -56,10 +60,9 @@ def find_doi(text: Column | str, head: int = 5000) -> Column:
 
 
 def surname(author: Column | str) -> Column:
-    """What stands before a comma, else the last word, in lower case."""
-    a = F.lower(F.trim(_c(author)))
-    runs = F.regexp_extract_all(a, F.lit(r"[a-zà-öø-ÿ'\-]{2,}"), F.lit(0))
-    return F.when(a.contains(","), F.trim(F.split_part(a, F.lit(","), F.lit(1)))).otherwise(F.try_element_at(runs, F.lit(-1)))
+    """The last word of two letters or more, of what stands before a comma if there is one, in lower case; null without any."""
+    before = F.split_part(F.lower(_c(author)), F.lit(","), F.lit(1))
+    return F.try_element_at(F.regexp_extract_all(before, F.lit(r"[a-zà-öø-ÿ'\-]{2,}"), F.lit(0)), F.lit(-1))
 
 
 def index_tokens(title: Column | str) -> Column:
@@ -112,14 +115,18 @@ def spaceless(text: Column | str) -> Column:
 
 
 def latest_date(text: Column | str, year: int, month: int, head: int = 3000) -> Column:
-    """The latest (year, month) named in the head of a text that is not after the given one; a known month beats none."""
-    names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+    """The latest (year, month) named in the head of a text that is not after the given one; a known month beats none.
+
+    A month is known by the first three letters of a word before the year, or
+    by its number in year-month form; years are 1600 to 2099.
+    """
     t = F.substring(F.lower(F.coalesce(_c(text), F.lit(""))), 1, head)
-    months = "|".join(names)
-    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i + 1))])
-    named = F.transform(F.regexp_extract_all(t, F.lit(rf"\b(?:{months})\b\s*(?:\d{{1,2}}(?:st|nd|rd|th)?,?\s+)?(?:19|20)\d\d\b"), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, r"(\d{4})$", 1).cast("int").alias("y"), F.element_at(number, F.regexp_extract(m, rf"^({months})", 1)).alias("m")))
-    iso = F.transform(F.regexp_extract_all(t, F.lit(r"\b(?:19|20)\d\d-(?:0[1-9]|1[0-2])\b"), F.lit(0)), lambda m: F.struct(F.substring(m, 1, 4).cast("int").alias("y"), F.substring(m, 6, 2).cast("int").alias("m")))
-    bare = F.transform(F.regexp_extract_all(t, F.lit(r"\b(?:19|20)\d\d\b"), F.lit(0)), lambda m: F.struct(m.cast("int").alias("y"), F.lit(0).alias("m")))
+    # 0 for a word that begins no month; the month's place in the string gives its number
+    number = lambda word: F.floor((F.instr(F.lit(MONTHS), F.concat(F.substring(word, 1, 3), F.lit(" "))) + 3) / 4).cast("int")
+    named = F.transform(F.regexp_extract_all(t, F.lit(rf"\b[a-z]{{3,9}}\.?\s+(?:\d{{1,2}}(?:st|nd|rd|th)?,?\s+)?{YEAR}\b"), F.lit(0)), lambda m: F.struct(F.right(m, F.lit(4)).cast("int").alias("y"), number(m).alias("m")))
+    named = F.filter(named, lambda d: d["m"] > 0)
+    iso = F.transform(F.regexp_extract_all(t, F.lit(rf"\b{YEAR}-(?:0[1-9]|1[0-2])\b"), F.lit(0)), lambda m: F.struct(F.substring(m, 1, 4).cast("int").alias("y"), F.substring(m, 6, 2).cast("int").alias("m")))
+    bare = F.transform(F.regexp_extract_all(t, F.lit(rf"\b{YEAR}\b"), F.lit(0)), lambda m: F.struct(m.cast("int").alias("y"), F.lit(0).alias("m")))
     fit = F.filter(F.concat(named, iso, bare), lambda d: (d["y"] < year) | ((d["y"] == year) & (d["m"] <= month)))
     return F.array_max(fit)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions import text as T
+from corpusflow.operators.components import stored
 
 
 def _one(docs: DataFrame, key: str, last: bool) -> DataFrame:
@@ -48,17 +49,31 @@ def citation_edges(docs: DataFrame, refs: DataFrame) -> DataFrame:
     return by_doi(docs, refs).unionByName(by_title(docs, refs)).distinct()
 
 
-def contained_titles(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of documents whose normalised text holds an item's, blocked on each item's rarest token.
+def contained_titles(docs: DataFrame, items: DataFrame, text: str = "text", broadcast_keys: int = 100_000) -> DataFrame:
+    """(doc_id, item_id) of documents whose normalised text holds an item's, in words or parts of them.
 
-    A text that holds an item holds all of its tokens, so the rarest one finds every match with the fewest candidates.
+    A text that holds an item holds its inner tokens, so those meet the text's,
+    the rarest one of each item. The first and the last token can be parts of
+    words: an item of two tokens meets the words that end with its first one, an
+    item of one the words that hold it. Only different words of the corpus are
+    taken apart for that. Up to ``broadcast_keys`` rows the items go to the
+    texts, and texts are not shuffled; beyond, ids meet first.
     """
     t = docs.select("doc_id", T.norm_title(text).alias("t"))
     # outer: an inner one lets Spark compute the normal form once more for each token
-    flat = t.select("doc_id", F.explode_outer(F.array_distinct(F.split("t", " "))).alias("tok"))
-    df = flat.groupBy("tok").agg(F.count("*").alias("df"))
-    i = items.select("item_id", T.norm_title("text").alias("it")).where("it <> ''")
-    toks = i.select("item_id", F.explode_outer(F.slice(F.split("it", " "), 2, 1 << 20)).alias("tok"))  # the first and last can be parts of words
-    rare = toks.join(df, "tok").groupBy("item_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
-    pairs = flat.join(rare.join(i, "item_id"), "tok")
-    return pairs.join(t, "doc_id").where(F.col("t").contains(F.col("it"))).select("doc_id", "item_id")
+    flat = t.select("doc_id", "t", F.explode_outer(F.array_distinct(F.split("t", " "))).alias("tok"))
+    words = stored(flat.groupBy("tok").agg(F.count("*").alias("df")).where("tok <> ''"))
+    i = items.select("item_id", T.norm_title("text").alias("it")).where("it <> ''").withColumn("w", F.split("it", " "))
+    inner = i.where("size(w) > 2").select("item_id", F.explode(F.expr("array_distinct(slice(w, 2, size(w) - 2))")).alias("tok"))
+    rare = inner.join(words, "tok").groupBy("item_id").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok"))
+    ends = words.select("tok", F.explode(F.expr("transform(sequence(1, length(tok)), k -> substr(tok, k))")).alias("part"))
+    two = i.where("size(w) = 2").select("item_id", F.col("w")[0].alias("part")).join(ends, "part").select("item_id", "tok")
+    one = i.where("size(w) = 1").select("item_id", F.col("w")[0].alias("part"))
+    sizes = [r.n for r in one.select(F.length("part").alias("n")).distinct().collect()]  # lengths of words
+    parts = words.select("tok", F.explode(F.expr(f"flatten(transform(array({', '.join(map(str, sizes)) or 'cast(null AS int)'}), n -> transform(sequence(1, greatest(length(tok) - n + 1, 1)), k -> substr(tok, k, n))))")).alias("part")).distinct()
+    keys = rare.unionByName(two).unionByName(one.join(parts, "part").select("item_id", "tok")).distinct().join(i.select("item_id", "it").distinct(), "item_id")
+    keys = stored(keys)
+    if keys.count() <= broadcast_keys:
+        return flat.join(F.broadcast(keys), "tok").where(F.col("t").contains(F.col("it"))).select("doc_id", "item_id").distinct()
+    pairs = flat.drop("t").join(keys, "tok")
+    return pairs.join(t, "doc_id").where(F.col("t").contains(F.col("it"))).select("doc_id", "item_id").distinct()

@@ -15,13 +15,15 @@ from pyspark.sql.window import Window
 
 from corpusflow.config import GraphFacts
 from corpusflow.functions import text as T
-from corpusflow.operators.components import components
+from corpusflow.operators.components import components, stored
 
 
 def token_triples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t_i, 'precedes', t_i+1) of neighbouring terms: a stand-in for a language model's extraction."""
-    flat = docs.select("doc_id", T.tokens(text).alias("t")).select("doc_id", F.explode_outer(F.expr("CASE WHEN size(t) > 1 THEN transform(sequence(0, size(t) - 2), i -> struct(t[i] AS s, t[i + 1] AS o)) END")).alias("x")).where("x IS NOT NULL")
-    return flat.select(F.col("x.s").alias("s"), F.lit("precedes").alias("p"), F.col("x.o").alias("o"), "doc_id").distinct()
+    # a text's own repeats go before anything is shuffled; terms hold no blank
+    pairs = F.expr("CASE WHEN size(t) > 1 THEN array_distinct(transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1]))) END")
+    flat = docs.select("doc_id", T.tokens(text).alias("t")).select("doc_id", F.explode_outer(pairs).alias("x")).where("x IS NOT NULL")
+    return flat.select(F.split_part("x", F.lit(" "), F.lit(1)).alias("s"), F.lit("precedes").alias("p"), F.split_part("x", F.lit(" "), F.lit(2)).alias("o"), "doc_id")
 
 
 def name_counts(triples: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def apply_merge(triples: DataFrame, entities: DataFrame, predicates: DataFrame |
 
 
 def provenance(triples: DataFrame) -> DataFrame:
-    """(s, p, o, doc_ids): each triple once with the sorted documents that state it."""
+    """(s, p, o, doc_ids): each triple once with the sorted documents that state it; a list is as long as its triple is frequent."""
     return triples.groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
@@ -69,7 +71,7 @@ def dominant_definitions(votes: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def abbreviation_clusters(triples: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(member, rep) where both a short form and an entity with its long form's key are nodes."""
+    """(member, rep) where both a short form and an entity with its long form's key are nodes; of several such entities the first by name, in which entities are ordered."""
     nodes = name_counts(triples).select("name")
     long_ = nodes.select(F.col("name").alias("rep"), T.resolution_key("name").alias("key")).groupBy("key").agg(F.min("rep").alias("rep"))
     return definitions.withColumn("key", T.resolution_key("long")).join(long_, "key").join(nodes.withColumnRenamed("name", "short"), "short").where("short <> rep").select(F.col("short").alias("member"), "rep")
@@ -102,31 +104,40 @@ def entity_df(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "o")).alias("name"), "doc_id").distinct().groupBy("name").agg(F.count("*").alias("df"))
 
 
+def _docs_of(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, df) of the given names only."""
+    at = triples.select(F.explode(F.array("s", "o")).alias("name"), "doc_id").join(names, "name", "left_semi")
+    return at.groupBy("name").agg(F.count_distinct("doc_id").alias("df"))
+
+
 def graph_facts(triples: DataFrame, seeds: list[str], n_docs: int, c: GraphFacts = GraphFacts()) -> DataFrame:
     """(s, p, o, n_docs, score): relations within two hops of the seeds, the best weight that reached each times its documents.
 
     Seeds need enough documents, may be hubs and weigh ln(N / df). Hubs are not
     passed through; a neighbour keeps the weight of the first seed that reached
     it; each hop halves. The seeds are a query's, so their number is bounded.
+    Triples are read once for each hop and once for the neighbours' documents,
+    each time only where a name of the front stands; statistics of all names
+    are never made.
     """
-    df = entity_df(triples)
     spark = triples.sparkSession
-    s = spark.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(seeds))], "name string, ord int").join(df, "name").where(F.col("df") >= c.min_seed_doc_freq)
-    s = s.select("name", "ord", F.log(F.lit(max(n_docs, 1)) / F.col("df")).alias("w"))
-    rel = triples.groupBy("s", "p", "o").agg(F.count_distinct("doc_id").alias("n_docs"))
+    seeds = list(dict.fromkeys(seeds))
+    at_seeds = stored(triples.where(F.col("s").isin(*seeds) | F.col("o").isin(*seeds)))
+    given = spark.createDataFrame([(x, k) for k, x in enumerate(seeds)], "name string, ord int")
+    s = given.join(_docs_of(at_seeds, given.select("name")), "name").where(F.col("df") >= c.min_seed_doc_freq)
+    s = F.broadcast(s.select("name", "ord", F.log(F.lit(max(n_docs, 1)) / F.col("df")).alias("w")))
 
-    def reach(front: DataFrame) -> DataFrame:
+    def reach(rows: DataFrame, front: DataFrame) -> DataFrame:
         """Relations at either end of the front, with what reached them."""
-        a = rel.join(front.withColumnRenamed("name", "s"), "s").select("s", "p", "o", "n_docs", "ord", "w", F.col("o").alias("other"))
-        b = rel.join(front.withColumnRenamed("name", "o"), "o").select("s", "p", "o", "n_docs", "ord", "w", F.col("s").alias("other"))
-        return a.unionByName(b)
-
-    one = reach(F.broadcast(s))
-    hubs = df.where(F.col("df") > c.hub_doc_freq).select(F.col("name").alias("other"))
-    step = one.join(F.broadcast(s.select(F.col("name").alias("other"))), "other", "left_anti").join(hubs, "other", "left_anti")
-    front = step.groupBy("other").agg((F.min_by("w", "ord") * c.hop_decay).alias("w"), F.min("ord").alias("ord")).withColumnRenamed("other", "name")
-    both = one.unionByName(reach(front)).where("w > 0")
-    facts = both.groupBy("s", "p", "o", "n_docs").agg(F.max("w").alias("w")).select("s", "p", "o", "n_docs", (F.col("w") * F.greatest("n_docs", F.lit(1))).alias("score"))
+        ends = [rows.join(front.withColumnRenamed("name", a), a).select("s", "p", "o", "doc_id", "ord", "w", F.col(b).alias("other")) for a, b in ("so", "os")]
+        return ends[0].unionByName(ends[1]).groupBy("s", "p", "o", "other").agg(F.count_distinct("doc_id").alias("n_docs"), F.min_by("w", "ord").alias("w"), F.min("ord").alias("ord"), F.max("w").alias("best"))
+
+    one = stored(reach(at_seeds, s))
+    near = stored(one.where(~F.col("other").isin(*seeds)).groupBy("other").agg((F.min_by("w", "ord") * c.hop_decay).alias("w"), F.min("ord").alias("ord")).withColumnRenamed("other", "name"))
+    passed = stored(near.join(_docs_of(triples, near.select("name")).where(F.col("df") <= c.hub_doc_freq), "name", "left_semi"))
+    two = reach(triples, passed)
+    both = one.select("s", "p", "o", "n_docs", "best").unionByName(two.select("s", "p", "o", "n_docs", "best")).where("best > 0")
+    facts = both.groupBy("s", "p", "o", "n_docs").agg(F.max("best").alias("w")).select("s", "p", "o", "n_docs", (F.col("w") * F.greatest("n_docs", F.lit(1))).alias("score"))
     return facts.orderBy(F.desc(F.round("score", 9)), "s", "p", "o").limit(c.max_facts)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.config import Ranking
 from corpusflow.functions import text as T
-from corpusflow.operators.components import cut
+from corpusflow.operators.components import cut, stored
 
 
 def window_scores(docs: DataFrame, query: list[str], c: Ranking = Ranking()) -> DataFrame:
@@ -79,16 +79,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     n = nodes.count()
     known = nodes.select("node").distinct()
     e = edges.select("src", "dst").distinct().join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    e = cut(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").select("src", "dst", "out"))
-    degree = e.select("src", "out").distinct().withColumnRenamed("src", "node")
-    ranks = cut(known.join(degree, "node", "left").withColumn("rank", F.lit(1.0 / max(n, 1))))
-    for k in range(rounds):
+    e = stored(e)
+    degree = stored(e.groupBy("src").agg(F.count("*").alias("out")))
+    e = stored(e.join(degree, "src").select("src", "dst", "out"))
+    degree = degree.withColumnRenamed("src", "node")
+    ranks = stored(known.join(degree, "node", "left").withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for _ in range(rounds):
         got = e.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        loose = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        ranks = ranks.drop("rank").join(got.withColumnRenamed("dst", "node"), "node", "left").crossJoin(F.broadcast(loose))
-        ranks = ranks.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if k % 5 == 4:
-            ranks = cut(ranks)
+        loose = ranks.where("out IS NULL").agg(F.sum("rank")).first()[0] or 0.0  # one number
+        ranks = ranks.drop("rank").join(got.withColumnRenamed("dst", "node"), "node", "left")
+        # each round is used three times by the next, so its lineage is cut at once
+        ranks = stored(ranks.select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank")))
     return ranks.select("node", "rank")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusflow.operators.components import stored
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -28,33 +30,63 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def knn(vectors: DataFrame, k: int = 10, block: int = 2048, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(i, j, sim, rank): the k most similar others of every vector, exactly; ties go to the lower id.
 
-    Vectors are dealt into blocks; each pair of blocks is one matrix product in
-    one task and yields k candidates a row, so no task holds more than two
-    blocks and pairs themselves are never shuffled.
+    Vectors are packed into blocks of bytes where they are read. Each pair of
+    blocks meets once in one task, a matrix product that yields k candidates of
+    either side's rows, so no task holds more than two blocks and pairs of
+    vectors are never shuffled. The work is quadratic in the vectors, and their
+    bytes travel once for each block.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.select(F.col(key).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = own.groupBy("b").agg(F.collect_list(F.struct("i", "v")).alias("x"))
-    pairs = packed.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed.select(F.col("b").alias("c"), F.col("x").alias("y")), "c")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def emit() -> pa.RecordBatch:
+            i, v = np.concatenate(ids), np.concatenate(held)
+            ids.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["ids", "vecs"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                ids.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                held.append(np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64))
+                if sum(map(len, ids)) >= block:
+                    yield emit()
+        if ids:
+            yield emit()
+
+    rows = vectors.select(F.col(key).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+    packed = stored(rows.mapInArrow(pack, "ids binary, vecs binary").select(F.xxhash64("ids").alias("b"), "ids", "vecs"))
+    names = stored(packed.select("b"))  # a row for each block
+    n = names.count()
+    pairs = names.join(names.withColumnRenamed("b", "c"), F.col("b") <= F.col("c"))
+    parts = max(1, min(n * (n + 1) // 2, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    met = pairs.join(packed.select("b", F.col("ids").alias("ia"), F.col("vecs").alias("va")), "b").join(packed.select(F.col("b").alias("c"), F.col("ids").alias("ib"), F.col("vecs").alias("vb")), "c")
+
+    def best(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(ib, kind="stable")
+        b, ib = b[order], ib[order]
+        for lo in range(0, len(ia), 256):
+            sim = a[lo : lo + 256] @ b.T
+            sim[ia[lo : lo + 256, None] == ib[None, :]] = -np.inf
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(sim)), top.shape[1])
+            s = sim[at, top.ravel()]
+            ok = np.isfinite(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ia[lo:][at][ok]), pa.array(ib[top.ravel()][ok]), pa.array(s[ok])], ["i", "j", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = (np.array([r["v"] for r in z]) for z in (x, y))
-                ia, ib = (np.array([r["i"] for r in z], np.int64) for z in (x, y))
-                order = np.argsort(ib, kind="stable")
-                b, ib = b[order], ib[order]
-                for lo in range(0, len(ia), 256):
-                    sim = a[lo : lo + 256] @ b.T
-                    sim[ia[lo : lo + 256, None] == ib[None, :]] = -np.inf
-                    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                    rows = np.repeat(np.arange(len(sim)), best.shape[1])
-                    s = sim[rows, best.ravel()]
-                    ok = np.isfinite(s)
-                    yield pa.RecordBatch.from_arrays([pa.array(ia[lo:][rows][ok]), pa.array(ib[best.ravel()][ok]), pa.array(s[ok])], ["i", "j", "sim"])
-
-    near = pairs.select("x", "y").repartition(blocks * blocks).mapInArrow(run, "i long, j long, sim double")
+            for same, ia, va, ib, vb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = (np.frombuffer(z, np.int64) for z in (ia, ib))
+                a, b = (np.frombuffer(z, np.float64).reshape(m, -1) for z, m in ((va, len(x)), (vb, len(y))))
+                yield from best(x, a, y, b)
+                if not same:
+                    yield from best(y, b, x, a)
+
+    near = met.select((F.col("b") == F.col("c")).alias("same"), "ia", "va", "ib", "vb").repartition(parts, "b", "c").mapInArrow(run, "i long, j long, sim double")
     w = Window.partitionBy("i").orderBy(F.desc(F.round("sim", 12)), "j")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

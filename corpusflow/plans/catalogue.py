@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.operators import chunking, citations, grounding, kg, lexical, rank, retrieve, vectors
-from corpusflow.operators.components import components
+from corpusflow.operators.components import components, stored
 from corpusflow.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,8 +133,8 @@ def cosine_topk(spark, d):
     return v.select("vec_id", vectors.dot("embedding", q).alias("sim")).orderBy(F.desc(F.round("sim", 9)), "vec_id").limit(8).select("vec_id", F.round("sim", 6).alias("sim"))
 
 
-_KNN = f"knn AS (SELECT a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.embedding', 'b.embedding')} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format('a.embedding', 'b.embedding')}, 12) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY rank <= 10)"
-_MUT = f"{_KNN}, mut AS (SELECT i, j, sim FROM knn a WHERE i < j AND sim >= {NEAR} AND EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i))"
+_KNN = f"knn AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, {_DOT.format('a.embedding', 'b.embedding')} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format('a.embedding', 'b.embedding')}, 12) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY rank <= 10)"
+_MUT = f"{_KNN}, mut AS (SELECT a.i, a.j, a.sim FROM knn a JOIN knn b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j AND a.sim >= {NEAR})"
 
 
 @query(f"WITH {_KNN} SELECT i, j, rank, round(sim, 6) AS sim FROM knn")
@@ -154,7 +154,7 @@ def _clusters(spark, d, threshold):
 
 
 def _cc(threshold: float) -> str:
-    return f"WITH RECURSIVE {_KNN}, m AS (SELECT i, j FROM knn a WHERE sim >= {threshold} AND EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i)), r(vec_id, o) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT m.j, r.o FROM r JOIN m ON m.i = r.vec_id) SELECT vec_id, min(o) AS cluster FROM r GROUP BY vec_id"
+    return f"WITH RECURSIVE {_KNN}, m AS MATERIALIZED (SELECT a.i, a.j FROM knn a JOIN knn b ON b.i = a.j AND b.j = a.i WHERE a.sim >= {threshold}), r(vec_id, o) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT m.j, r.o FROM r JOIN m ON m.i = r.vec_id) SELECT vec_id, min(o) AS cluster FROM r GROUP BY vec_id"
 
 
 @query(_cc(NEAR))
@@ -226,7 +226,7 @@ _KEY = "CASE WHEN length(name) > 4 AND NOT (regexp_matches(name, '\\d') AND rege
 
 @query(f"WITH n AS (SELECT name, count(*) AS n FROM ({_WORDS}) GROUP BY name), k AS (SELECT name, n, {_KEY} AS key FROM n) SELECT name AS member, first_value(name) OVER (PARTITION BY key ORDER BY n DESC, length(name), name) AS rep FROM k WHERE key <> '' QUALIFY count(*) OVER (PARTITION BY key) > 1")
 def entity_key_merge(spark, d):
-    words = t(spark, d, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("name")).where("name IS NOT NULL").distinct()
+    words = t(spark, d, "documents").select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("name")).where("name IS NOT NULL")
     return kg.entity_clusters(words.groupBy("name").agg(F.count("*").alias("n")))
 
 
@@ -289,8 +289,8 @@ def graph_seeds_df(spark, d):
 )
 def graph_facts_2hop(spark, d):
     docs = t(spark, d, "documents")
-    tri = kg.token_triples(docs)
-    return kg.graph_facts(tri.where("s <> o"), SEEDS, docs.count()).select("s", "p", "o", "n_docs", F.round("score", 6).alias("score"))
+    tri = stored(kg.token_triples(docs).where("s <> o"))
+    return kg.graph_facts(tri, SEEDS, docs.count()).select("s", "p", "o", "n_docs", F.round("score", 6).alias("score"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][ >]'))::BIGINT AS n_headings, len(regexp_extract_all(html, '(?i)<p[ >]'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, '(?i)<a[ >]'))::BIGINT AS n_links FROM pages")
