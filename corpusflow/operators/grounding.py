@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.config import Grounding
 from corpusflow.functions import text as T
 from corpusflow.operators import vectors
+from corpusflow.operators.components import stored
 
 
 def overlap(claim: Column, chunk: Column) -> Column:
@@ -22,6 +24,27 @@ def verbatim(claim: Column, chunk: Column, run: int = 8) -> Column:
     return F.exists(starts, lambda i: F.contains(F.array_join(chunk, ""), F.array_join(F.slice(claim, i, n), "")))
 
 
+def sources(claims: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
+    """(claim_id, chunk_id, overlap) of claims (claim_id, claim) and all chunks (chunk_id, chunk) that hold enough of their terms.
+
+    A chunk that holds a share of a claim's n terms holds one of any n minus
+    that share plus one of them, so only so many of the rarest ones are looked
+    up; whole claims meet the chunks found. Frequent terms join nothing.
+    """
+    c = stored(claims.select("claim_id", T.tokens("claim").alias("ct")).where("size(ct) >= 4"))
+    k = chunks.select("chunk_id", T.tokens("chunk").alias("kt"))
+    asked = c.select(F.explode("ct").alias("term")).distinct()
+    words = k.select("chunk_id", F.explode(F.array_distinct("kt")).alias("term"))
+    df = words.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # repeats count in the overlap, so a term stands for all of its places in the claim
+    each = c.select("claim_id", F.size("ct").alias("n"), F.explode("ct").alias("term")).groupBy("claim_id", "n", "term").agg(F.count("*").alias("m")).join(df, "term", "left")
+    order = Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    rare = each.withColumn("before", F.sum("m").over(order) - F.col("m")).where(F.col("before") <= F.col("n") - F.ceil(F.col("n") * least)).where("df IS NOT NULL")
+    pairs = words.join(rare.select("claim_id", "term"), "term").select("claim_id", "chunk_id").distinct()
+    both = pairs.join(c, "claim_id").join(k.select("chunk_id", "kt"), "chunk_id")
+    return both.select("claim_id", "chunk_id", overlap(F.col("ct"), F.col("kt")).alias("overlap")).where(F.col("overlap") >= least)
+
+
 def verify(claims: DataFrame, chunks: DataFrame, c: Grounding = Grounding()) -> DataFrame:
     """(claim_id, chunk_id, overlap, verbatim, verified): each claim's best chunk among those of its key.
 

@@ -49,6 +49,17 @@ def apply_merge(triples: DataFrame, entities: DataFrame, predicates: DataFrame |
     return out.distinct()
 
 
+def merge_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of what a merge did: relations, entities and predicates before and after."""
+
+    def count(x: DataFrame, name: str) -> DataFrame:
+        rel = x.select("s", "p", "o").distinct().agg(F.count("*").alias(f"relations_{name}"), F.count_distinct("p").alias(f"predicates_{name}"))
+        ends = x.select(F.explode(F.array("s", "o")).alias("n")).agg(F.count_distinct("n").alias(f"entities_{name}"))
+        return rel.crossJoin(ends)
+
+    return count(before, "before").crossJoin(count(after, "after"))  # a row each
+
+
 def provenance(triples: DataFrame) -> DataFrame:
     """(s, p, o, doc_ids): each triple once with the sorted documents that state it; a list is as long as its triple is frequent."""
     return triples.groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
@@ -93,9 +104,13 @@ def isolated(entities: DataFrame, triples: DataFrame) -> DataFrame:
     return entities.select("name").distinct().join(name_counts(triples), "name", "left_anti")
 
 
-def clean(triples: DataFrame, junk: DataFrame) -> DataFrame:
-    """Without loops and without entities of the junk list (name)."""
+def clean(triples: DataFrame, junk: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Without loops, blank parts, entities of the junk list (name) and those that are a document's title (title)."""
     t = triples.where("s <> o AND trim(s) <> '' AND trim(p) <> '' AND trim(o) <> ''")
+    if titles is not None:
+        known = titles.select(T.norm_entity("title").alias("_t")).where("_t <> ''").distinct()
+        for end in ("s", "o"):
+            t = t.join(known, T.norm_entity(end) == F.col("_t"), "left_anti")
     return t.join(junk.select(F.col("name").alias("s")), "s", "left_anti").join(junk.select(F.col("name").alias("o")), "o", "left_anti").select("s", "p", "o", "doc_id")
 
 

@@ -98,3 +98,51 @@ def final_score(df: DataFrame, c: Ranking = Ranking(), pagerank_col: str | None
     text = (1 - c.novelty_weight) * F.col("representativeness_pct") + c.novelty_weight * F.col("novelty_pct")
     score = text if pagerank_col is None else c.alpha * text + (1 - c.alpha) * F.col(pagerank_col)
     return df.withColumn("final_score", F.round(score, 4))
+
+
+def with_percentile(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the percentile of their value within their group as column ``name``; null groups are one."""
+    x = F.col(value).cast("double")
+    v = F.when(F.abs(x * 1e12) < F.lit(float("inf")), F.round(x * 1e12, 0) / 1e12).otherwise(x)
+    pct = percentile(df, group, value).select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), F.col(value).alias("_v"), F.col("pct").alias(name))
+    same = v.eqNullSafe(F.col("_v"))
+    for k, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return df.join(pct, same).drop("_v", *(f"_g{k}" for k in range(len(group))))
+
+
+def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Rows with their place, from 1, in the order of the given columns over the whole table.
+
+    Ranges of the order are sorted each in its task, and what lies below a range
+    is added; the table of ranges has a row for each partition.
+    """
+    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    below = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_below"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(below), F.col("_part") == F.col("_p")).withColumn(name, (own + F.col("_below")).cast("long")).drop("_part", "_p", "_below")
+
+
+def carry_forward(df: DataFrame, value: str, group: list[str], order: list, name: str) -> DataFrame:
+    """Rows with the last value so far that is not null, within their group."""
+    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.last(value, ignorenulls=True).over(upto))
+
+
+def final_ranking(scores: DataFrame, k: int, c: Ranking = Ranking(), pagerank: DataFrame | None = None) -> DataFrame:
+    """(doc_id, cluster, final_score, place): the k best documents, dealt to clusters by their sizes.
+
+    scores (doc_id, cluster, representativeness, novelty). Percentiles are taken
+    within the cluster for representativeness and over all for novelty and rank;
+    documents without a cluster are one cluster behind all others. Scores are
+    rounded before they are sorted; ties go to the lower id.
+    """
+    s = with_percentile(scores, ["cluster"], "representativeness", "representativeness_pct")
+    s = with_percentile(s.withColumn("_all", F.lit(0)), ["_all"], "novelty", "novelty_pct")
+    if pagerank is not None:
+        s = with_percentile(s.join(pagerank.withColumnsRenamed({"node": "doc_id", "rank": "_rank"}), "doc_id"), ["_all"], "_rank", "pagerank_pct")
+    s = stored(final_score(s, c, "pagerank_pct" if pagerank is not None else None).withColumn("_c", F.coalesce(F.col("cluster").cast("string"), F.lit("￿"))))
+    quotas = apportion(s.groupBy("_c").agg(F.count("*").alias("size")), k, "_c")
+    best = fill_quotas(s, quotas, "_c", [F.desc("final_score"), "doc_id"])
+    return positions(best.select("doc_id", "cluster", "final_score"), [F.desc("final_score"), "doc_id"], "place")

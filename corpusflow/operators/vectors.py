@@ -27,15 +27,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def knn(vectors: DataFrame, k: int = 10, block: int = 2048, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(i, j, sim, rank): the k most similar others of every vector, exactly; ties go to the lower id.
-
-    Vectors are packed into blocks of bytes where they are read. Each pair of
-    blocks meets once in one task, a matrix product that yields k candidates of
-    either side's rows, so no task holds more than two blocks and pairs of
-    vectors are never shuffled. The work is quadratic in the vectors, and their
-    bytes travel once for each block.
-    """
+def _block_pairs(vectors: DataFrame, block: int, key: str, vec: str) -> tuple[DataFrame, int]:
+    """(b, ia, va, c, ib, vb): every pair of blocks of ids and vectors as bytes, and over how many partitions to deal them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -64,6 +57,20 @@ def knn(vectors: DataFrame, k: int = 10, block: int = 2048, key: str = "vec_id",
     pairs = names.join(names.withColumnRenamed("b", "c"), F.col("b") <= F.col("c"))
     parts = max(1, min(n * (n + 1) // 2, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     met = pairs.join(packed.select("b", F.col("ids").alias("ia"), F.col("vecs").alias("va")), "b").join(packed.select(F.col("b").alias("c"), F.col("ids").alias("ib"), F.col("vecs").alias("vb")), "c")
+    return met, parts
+
+
+def knn(vectors: DataFrame, k: int = 10, block: int = 2048, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(i, j, sim, rank): the k most similar others of every vector, exactly; ties go to the lower id.
+
+    Vectors are packed into blocks of bytes where they are read. Each pair of
+    blocks meets once in one task, a matrix product that yields k candidates of
+    either side's rows, so no task holds more than two blocks and pairs of
+    vectors are never shuffled. The work is quadratic in the vectors, and their
+    bytes travel once for each block.
+    """
+
+    met, parts = _block_pairs(vectors, block, key, vec)
 
     def best(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ib, kind="stable")
@@ -86,11 +93,30 @@ def knn(vectors: DataFrame, k: int = 10, block: int = 2048, key: str = "vec_id",
                 if not same:
                     yield from best(y, b, x, a)
 
-    near = met.select((F.col("b") == F.col("c")).alias("same"), "ia", "va", "ib", "vb").repartition(parts, "b", "c").mapInArrow(run, "i long, j long, sim double")
+    near = met.select((F.col("b") == F.col("c")).alias("same"), "ia", "va", "ib", "vb").repartition(parts).mapInArrow(run, "i long, j long, sim double")
     w = Window.partitionBy("i").orderBy(F.desc(F.round("sim", 12)), "j")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def within(vectors: DataFrame, threshold: float, block: int = 2048, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(i, j, sim) with i < j of all pairs of unit vectors at ``threshold`` or more, exactly; blocks meet as in ``knn``."""
+    met, parts = _block_pairs(vectors, block, key, vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, ia, va, ib, vb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = (np.frombuffer(z, np.int64) for z in (ia, ib))
+                a, b = (np.frombuffer(z, np.float64).reshape(m, -1) for z, m in ((va, len(x)), (vb, len(y))))
+                for lo in range(0, len(x), 256):
+                    sim = a[lo : lo + 256] @ b.T
+                    p, q = np.nonzero(sim >= threshold)
+                    i, j, s = x[lo:][p], y[q], sim[p, q]
+                    ok = i < j if same else i != j
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)[ok]), pa.array(np.maximum(i, j)[ok]), pa.array(s[ok])], ["i", "j", "sim"])
+
+    return met.select((F.col("b") == F.col("c")).alias("same"), "ia", "va", "ib", "vb").repartition(parts).mapInArrow(run, "i long, j long, sim double")
+
+
 def mutual(edges: DataFrame, threshold: float) -> DataFrame:
     """(i, j, sim) with i < j of edges that go both ways and are similar enough."""
     back = edges.select(F.col("i").alias("j"), F.col("j").alias("i"))

@@ -36,12 +36,16 @@ def sections(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.regexp_extract(h, r"(?is)<title>(.*?)</title>", 1).alias("title"), *(F.regexp_count(h, F.lit(p)).cast("long").alias(n) for n, p in (("n_headings", "(?i)<h[1-6][ >]"), ("n_paragraphs", "(?i)<p[ >]"), ("n_links", "(?i)<a[ >]"))))
 
 
-def strip_html(html: str = "html"):
+def strip_tags(html):
     """Text of a page without scripts, styles and tags, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", " ")
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"\s+", " "))
 
 
+def strip_html(html: str = "html"):
+    return strip_tags(F.col(html))
+
+
 def status_now(log: DataFrame) -> DataFrame:
     """(doc_id, status): the newest of an append-only log (doc_id, status, at)."""
     return log.groupBy("doc_id").agg(F.max_by("status", "at").alias("status"))
