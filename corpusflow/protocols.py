@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,6 @@ class HashedTerms:
 
 def embed_table(df: DataFrame, embedder: Embedder, text: str = "text", vec: str = "vec", batch: int = 64) -> DataFrame:
     """Rows with the vectors of their texts, embedded a batch at a time where the rows are."""
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def run(xs: pd.Series) -> pd.Series:

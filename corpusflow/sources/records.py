@@ -56,7 +56,7 @@ def tei_references(docs: DataFrame, xml: str = "xml") -> DataFrame:
     count = F.xpath_int(xml, F.lit(f"count({path})"))
     each = docs.select("doc_id", xml, F.explode(F.when(count > 0, F.sequence(F.lit(1), count))).alias("ref"))
     # the path of XPath functions is a constant, so parts of a reference are taken from its own piece of text
-    piece = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<(?:\w+:)?biblStruct\b.*?</(?:\w+:)?biblStruct>"), F.lit(0))[F.col("ref") - 1]
+    piece = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)<(?:\w+:)?listBibl\b.*</(?:\w+:)?listBibl>", 0), F.lit(r"(?s)<(?:\w+:)?biblStruct\b.*?</(?:\w+:)?biblStruct>"), F.lit(0))[F.col("ref") - 1]
     local = F.regexp_replace(F.regexp_replace(piece, r"<(/?)\w+:(\w)", "<$1$2"), r"\s(?:xml|xmlns)(?::\w+)?=\"[^\"]*\"", "")
     title = lambda part: F.nullif(F.trim(F.xpath_string("_x", F.lit(f"/biblStruct/{part}/title"))), F.lit(""))
     names = F.zip_with(F.xpath("_x", F.lit("//author/persName/forename[1]/text()")), F.xpath("_x", F.lit("//author/persName/surname/text()")), lambda a, b: F.trim(F.concat_ws(" ", a, b)))
