@@ -143,14 +143,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), tex
 
 
 def oracle(docs: str = "documents") -> str:
-    """DuckDB SQL for ``matches`` with its default settings, without fingerprints."""
+    """DuckDB SQL for ``matches`` with its default settings, without fingerprints.
+
+    It scores every item-sized window that holds a shingle of the item, whether
+    or not the operator opens it, so a better window that was missed would show.
+    Of equally good ones it names the aligned ones, then those that end with a
+    shingle of the item, then the first.
+    """
     words = rf"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}')"
     return rf"""
     WITH iw AS (SELECT item_id, {words} AS w FROM benchmark),
     i AS (SELECT item_id, len(w) AS n, o - 1 AS o, array_to_string(w[o:o + 4], ' ') AS g FROM iw, range(1, len(w) - 3) r(o)),
     d AS (SELECT doc_id, {words} AS w FROM {docs}),
     s AS (SELECT doc_id, len(w) AS m, p - 1 AS p, array_to_string(w[p:p + 4], ' ') AS g FROM d, range(1, len(w) - 3) r(p)),
-    a AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(p - o, m - n)) AS start FROM s JOIN i USING (g)),
+    h AS (SELECT DISTINCT doc_id, m, item_id, n, p, o FROM s JOIN i USING (g)),
+    al AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - o, m - n)) AS start FROM h),
+    en AS (SELECT DISTINCT doc_id, item_id, p - n + 5 AS start FROM h),
+    a AS (SELECT DISTINCT doc_id, item_id, n, start FROM (SELECT doc_id, item_id, n, unnest(range(greatest(0, least(p - n + 5, m - n)), greatest(0, least(p, m - n)) + 1)) AS start FROM h)),
     win AS (SELECT a.*, p, g FROM a JOIN s USING (doc_id) WHERE p BETWEEN start AND start + n - 5),
     wc AS (SELECT doc_id, item_id, n, start, g, count(*) AS c FROM win GROUP BY ALL),
     ic AS (SELECT item_id, g, count(*) AS c FROM i GROUP BY ALL),
@@ -158,5 +167,6 @@ def oracle(docs: str = "documents") -> str:
     v AS (SELECT doc_id, item_id, n, start, sum(least(wc.c, ic.c)) AS c FROM wc JOIN ic USING (item_id, g) GROUP BY ALL),
     q AS (SELECT v.*, t.t + v.n - 4 AS t FROM v JOIN t USING (doc_id, item_id, start))
     SELECT doc_id, item_id, n::BIGINT AS n_words, start::BIGINT AS start_word, round(c / (t - c), 6) AS similarity
-    FROM q WHERE 100 * c >= 80 * (t - c) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY c / (t - c) DESC, start) = 1
+    FROM q LEFT JOIN (SELECT *, 1 AS aligned FROM al) USING (doc_id, item_id, start) LEFT JOIN (SELECT *, 1 AS ending FROM en) USING (doc_id, item_id, start)
+    WHERE 100 * c >= 80 * (t - c) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY c / (t - c) DESC, coalesce(aligned, 0) DESC, coalesce(ending, 0) DESC, start) = 1
     """
