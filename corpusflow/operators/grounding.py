@@ -17,11 +17,11 @@ def overlap(claim: Column, chunk: Column) -> Column:
     return F.size(F.filter(claim, lambda t: F.array_contains(chunk, t))) / F.size(claim)
 
 
-def verbatim(claim: Column, chunk: Column, run: int = 8) -> Column:
-    """Whether a run of a claim's terms (all, if fewer) is in a chunk's terms, both without spaces."""
+def verbatim(claim: Column, joined: Column, run: int = 8) -> Column:
+    """Whether a run of a claim's terms (all, if fewer) is in a chunk's terms, both without spaces; ``joined`` is a column, so that a chunk is joined once."""
     n = F.least(F.lit(run), F.size(claim))
     starts = F.sequence(F.lit(1), F.size(claim) - n + 1)
-    return F.exists(starts, lambda i: F.contains(F.array_join(chunk, ""), F.array_join(F.slice(claim, i, n), "")))
+    return F.exists(starts, lambda i: F.contains(joined, F.array_join(F.slice(claim, i, n), "")))
 
 
 def sources(claims: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
@@ -56,8 +56,8 @@ def verify(claims: DataFrame, chunks: DataFrame, c: Grounding = Grounding()) ->
     if "vec" in claims.columns and "vec" in chunks.columns:
         return _with_vectors(claims, chunks, c)
     a = claims.select("claim_id", "key", "quoted", T.tokens("claim").alias("ct")).where("size(ct) >= 4")
-    b = chunks.select("key", "chunk_id", T.tokens("chunk").alias("kt"))
-    got = a.join(b, "key").select("claim_id", "chunk_id", "quoted", overlap(F.col("ct"), F.col("kt")).alias("overlap"), verbatim(F.col("ct"), F.col("kt"), c.verbatim_run).alias("verbatim"))
+    b = chunks.select("key", "chunk_id", T.tokens("chunk").alias("kt"), T.spaceless("chunk").alias("kj"))
+    got = a.join(b, "key").select("claim_id", "chunk_id", "quoted", overlap(F.col("ct"), F.col("kt")).alias("overlap"), verbatim(F.col("ct"), F.col("kj"), c.verbatim_run).alias("verbatim"))
     score = F.col("overlap") + F.col("verbatim").cast("int")
     best = got.groupBy("claim_id", "quoted").agg(F.max_by(F.struct("chunk_id", "overlap", "verbatim"), F.struct(score, -F.col("chunk_id"))).alias("x")).select("claim_id", "quoted", "x.*")
     ok = F.when(F.col("quoted"), F.col("verbatim")).otherwise(F.col("overlap") + F.col("verbatim").cast("int") >= c.min_overlap)
@@ -68,9 +68,9 @@ def _with_vectors(claims: DataFrame, chunks: DataFrame, c: Grounding) -> DataFra
     lexical = verify(claims.drop("vec"), chunks.drop("vec"), c)
     open_ = claims.where("NOT quoted").join(lexical.where("verified").select("claim_id"), "claim_id", "left_anti")
     a = open_.select("claim_id", "key", F.col("vec").alias("cv"), T.tokens("claim").alias("ct"))
-    b = chunks.where("vec IS NOT NULL").select("key", "chunk_id", F.col("vec").alias("kv"), T.tokens("chunk").alias("kt"))
+    b = chunks.where("vec IS NOT NULL").select("key", "chunk_id", F.col("vec").alias("kv"), T.tokens("chunk").alias("kt"), T.spaceless("chunk").alias("kj"))
     whole = F.size("ct") >= 4
     got = a.where("cv IS NOT NULL").join(b, "key").withColumn("sim", vectors.cosine("cv", "kv")).where(F.col("sim") >= c.similarity)
-    said = got.select("claim_id", "sim", "chunk_id", F.when(whole, overlap(F.col("ct"), F.col("kt"))).otherwise(0.0).alias("overlap"), (whole & verbatim(F.col("ct"), F.col("kt"), c.verbatim_run)).alias("verbatim"))
+    said = got.select("claim_id", "sim", "chunk_id", F.when(whole, overlap(F.col("ct"), F.col("kt"))).otherwise(0.0).alias("overlap"), (whole & verbatim(F.col("ct"), F.col("kj"), c.verbatim_run)).alias("verbatim"))
     best = said.groupBy("claim_id").agg(F.max_by(F.struct("chunk_id", "overlap", "verbatim"), F.struct(F.round("sim", 12), -F.col("chunk_id"))).alias("x")).select("claim_id", "x.*", F.lit(True).alias("verified"))
     return lexical.join(best.select("claim_id"), "claim_id", "left_anti").unionByName(best)

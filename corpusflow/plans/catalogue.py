@@ -233,9 +233,9 @@ def entity_key_merge(spark, d):
 _TRI = f"tok AS (SELECT doc_id, {TOK} AS t FROM documents), tri AS (SELECT DISTINCT t[i] AS s, 'precedes' AS p, t[i + 1] AS o, doc_id FROM tok, range(1, len(t)) r(i))"
 
 
-@query(f"WITH {_TRI} SELECT s, p, o, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tri GROUP BY s, p, o")
+@query(f"WITH {_TRI} SELECT s, p, o, count(*) AS n_docs, md5(string_agg(doc_id, ',' ORDER BY doc_id)) AS docs FROM tri GROUP BY s, p, o")
 def provenance_union(spark, d):
-    return kg.token_triples(t(spark, d, "documents")).groupBy("s", "p", "o").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return kg.provenance(kg.token_triples(t(spark, d, "documents"))).select("s", "p", "o", F.size("doc_ids").cast("long").alias("n_docs"), F.md5(F.array_join(F.col("doc_ids").cast("array<string>"), ",")).alias("docs"))
 
 
 @query(f"WITH {_TRI}, m AS (SELECT DISTINCT s, p, o, doc_id FROM (SELECT CASE WHEN length(s) > 3 AND s LIKE '%s' THEN s[:-2] ELSE s END AS s, p, CASE WHEN length(o) > 3 AND o LIKE '%s' THEN o[:-2] ELSE o END AS o, doc_id FROM tri)) SELECT s, p, o, count(*) AS n_docs FROM m GROUP BY s, p, o")
@@ -317,10 +317,12 @@ def doi_extract(spark, d):
     return t(spark, d, "documents").select("doc_id", T.find_doi("text").alias("doi"))
 
 
-@query("WITH x AS (SELECT event_id, 'Received ' || strftime(ts, '%B %-d, %Y') || ', revised ' || strftime(ts, '%Y-%m') || ' and 2031' AS s, ts FROM events) SELECT event_id, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN year(ts) WHEN year(ts) = 2024 THEN 2024 END::INT AS y, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN month(ts) WHEN year(ts) = 2024 THEN 0 END::INT AS m FROM x")
+@query("WITH x AS (SELECT event_id, ts FROM events) SELECT event_id, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN year(ts) WHEN year(ts) = 2024 THEN 2024 END::INT AS y, CASE WHEN year(ts) < 2024 OR (year(ts) = 2024 AND month(ts) <= 6) THEN month(ts) WHEN year(ts) = 2024 THEN 0 END::INT AS m FROM x")
 def date_scan(spark, d):
     e = t(spark, d, "events")
-    said = F.concat(F.lit("Received "), F.date_format("ts", "MMMM d, yyyy"), F.lit(", revised "), F.date_format("ts", "yyyy-MM"), F.lit(" and 2031"))
+    # the month in full, short or as a number by turns
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "MMMM d, yyyy")).when(F.col("event_id") % 3 == 1, F.concat(F.date_format("ts", "d MMM"), F.lit(". "), F.date_format("ts", "yyyy"))).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    said = F.concat(F.lit("Received "), day, F.lit(", first printed in 1687, until 2031"))
     return e.select("event_id", T.latest_date(said, 2024, 6).alias("x")).select("event_id", F.col("x.y").alias("y"), F.col("x.m").alias("m"))
 
 
@@ -360,7 +362,7 @@ _RUN = "len(list_filter(range(1, len(ct) - least(8, len(ct)) + 2), lambda i: con
 
 def _claims(spark, d):
     c = t(spark, d, "conversations").select("conv_id", "turn", T.tokens("text").alias("t"))
-    a, b = c.select("conv_id", F.col("turn").alias("claim_turn"), F.col("t").alias("ct")).where("size(ct) >= 4"), c.select("conv_id", F.col("turn").alias("chunk_turn"), F.col("t").alias("kt"))
+    a, b = c.select("conv_id", F.col("turn").alias("claim_turn"), F.col("t").alias("ct")).where("size(ct) >= 4"), c.select("conv_id", F.col("turn").alias("chunk_turn"), F.col("t").alias("kt"), F.array_join("t", "").alias("kj"))
     return a.join(b, "conv_id").where("chunk_turn < claim_turn")
 
 
@@ -371,7 +373,7 @@ def claim_overlap(spark, d):
 
 @query(f"WITH {_CLAIMS} SELECT conv_id, claim_turn, chunk_turn, {_RUN} AS verbatim FROM c")
 def verbatim_run(spark, d):
-    return _claims(spark, d).select("conv_id", "claim_turn", "chunk_turn", grounding.verbatim(F.col("ct"), F.col("kt")).alias("verbatim"))
+    return _claims(spark, d).select("conv_id", "claim_turn", "chunk_turn", grounding.verbatim(F.col("ct"), F.col("kj")).alias("verbatim"))
 
 
 @query("SELECT conv_id AS query_id, string_agg('[' || turn || '] ' || role || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS context FROM conversations GROUP BY conv_id")
