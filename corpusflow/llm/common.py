@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_made: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,9 +42,24 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables ``stored`` has made in this process."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Removes the tables made since then but the last, which is all that later steps read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made[since:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _made[since:-1]
+
+
 def fold(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the contracts' held-out folds."""
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")) % F.lit(mod)
