@@ -101,8 +101,8 @@ def definitions(docs: DataFrame, text: str = "text") -> DataFrame:
     pattern = re.compile(r"\(([A-Za-z][\w.\-]{1,9})\)")
 
     def expand(before: str, short: str) -> str | None:
-        words = before.split()
-        near = " ".join(words[-min(len(short) + 5, 2 * len(short)) :])
+        most = min(len(short) + 5, 2 * len(short))
+        near = " ".join(before.rsplit(None, most)[-most:])
         i = len(near)
         for c in reversed([c for c in short.lower() if c.isalnum()][1:]):
             i = near.lower().rfind(c, 0, i)
@@ -119,7 +119,7 @@ def definitions(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for t in b[text]:
                 for m in pattern.finditer(t or ""):
-                    if any(c.isupper() for c in m[1]) and (long := expand(t[max(0, m.start() - 200) : m.start()].rstrip(), m[1])) and len(long) > len(m[1]):
+                    if any(c.isupper() for c in m[1]) and (long := expand(t[: m.start()], m[1])) and len(long) > len(m[1]):
                         rows.append((m[1], long))
             yield pd.DataFrame(rows, columns=["short", "long"])
 
