@@ -261,3 +261,26 @@ def merge_counters(spark, d):
     tri = stored(kg.token_triples(t(spark, d, "documents")).where("s < o"))
     m = kg.name_counts(tri).where("name LIKE 'th%'").select(F.col("name").alias("member"), F.expr("substr(name, 3)").alias("rep"))
     return kg.merge_stats(tri, kg.apply_merge(tri, m))
+
+
+_PX = "px AS (SELECT l_returnflag || l_linestatus AS page, (l_partkey * 7 + l_suppkey) % 256 AS value FROM lineitem), hi AS (SELECT page, value, count(*) AS n FROM px GROUP BY ALL)"
+
+
+def _pixels(spark, d):
+    return t(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("page"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 256).alias("value"))
+
+
+@query(f"WITH {_PX}, c AS (SELECT page, value, sum(n) OVER u AS w, sum(n * value) OVER u AS m, sum(n) OVER p AS nn, sum(n * value) OVER p AS mm FROM hi WINDOW p AS (PARTITION BY page), u AS (PARTITION BY page ORDER BY value)), b AS (SELECT page, value, CASE WHEN w < nn THEN round(pow(mm::DOUBLE * w / nn - m, 2) / (w::DOUBLE * (nn - w)), 9) ELSE 0 END AS b FROM c) SELECT page, value AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY page ORDER BY b DESC, value) = 1")
+def otsu_threshold(spark, d):
+    from corpusflow.operators import images
+
+    return images.otsu(images.histogram(_pixels(spark, d)))
+
+
+@query("WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]\\s*>', 1) AS h FROM pages) SELECT page_id, len(h)::BIGINT AS n_headings, trim(regexp_replace(regexp_replace(h[1], '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM s WHERE len(h) > 0")
+def page_metadata(spark, d):
+    from corpusflow.sources import sections
+
+    p = t(spark, d, "pages").select("page_id", sections.html_sections("html").alias("s"))
+    got = p.select("page_id", F.size(F.filter("s", lambda x: x["heading"] != "")).cast("long").alias("n_headings"), sections.metadata("s").alias("m"))
+    return got.where("n_headings > 0").select("page_id", "n_headings", F.col("m.title").alias("title"))
