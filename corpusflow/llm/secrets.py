@@ -60,7 +60,7 @@ def random_strings(spark: SparkSession, s: Settings = Settings()) -> DataFrame:
 
 def corpus_samples(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """(value, label): long values that any base pattern finds are random strings, words without digits ordinary identifiers (as written, and in capitals)."""
-    some = sampled(docs.select("doc_id", text), docs, s.sample)
+    some = sampled(docs.select("doc_id", text), docs, s.sample, text=text)
     every = [(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{24,}\b", 0), (ACCESS, 0), (ASSIGN, 2)]
     values = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in every))
     # short values of assignments are often words
