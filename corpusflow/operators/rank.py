@@ -101,8 +101,12 @@ def final_score(df: DataFrame, c: Ranking = Ranking(), pagerank_col: str | None
 
 
 def with_percentile(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Rows with the percentile of their value within their group as column ``name``; null groups are one."""
-    x = F.col(value).cast("double")
+    """Rows with the percentile of their value within their group as column ``name``; null groups are one.
+
+    The rows are stored first: a sum computed anew for the join can differ in its
+    last digit and round to another value, and its row would find no percentile.
+    """
+    df, x = stored(df), F.col(value).cast("double")
     v = F.when(F.abs(x * 1e12) < F.lit(float("inf")), F.round(x * 1e12, 0) / 1e12).otherwise(x)
     pct = percentile(df, group, value).select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)), F.col(value).alias("_v"), F.col("pct").alias(name))
     same = v.eqNullSafe(F.col("_v"))

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.operators import rank
 from corpusflow.plans import catalogue
@@ -35,3 +36,11 @@ def test_group_over_many_ranges(spark):
             count[v] = count.get(v, 0) + 1
         want = {v: (c, round((first[v] + (c - 1) / 2) / (len(own) - 1), 9) if len(own) > 1 else 1.0) for v, c in count.items()}
         assert {v: x for (k, v), x in got.items() if k == g} == want
+
+
+def test_values_that_change_when_computed_anew(spark):
+    """Sums can round to another value in each execution; every row keeps its percentile."""
+    unstable = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    rows = spark.range(40).withColumn("g", F.lit(None).cast("string")).withColumn("v", unstable("id"))
+    got = sorted(rank.with_percentile(rows, ["g"], "v", "pct").collect(), key=lambda r: r.v)
+    assert [round(r.pct * 39) for r in got] == list(range(40))
