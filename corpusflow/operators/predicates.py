@@ -17,10 +17,9 @@ FRAMES = (("X", "Y"), ("the method", "the dataset"))
 
 def candidate_pairs(predicates: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b, sim) with a < b of predicates (id, predicate, vec) at ``threshold`` or more, of the same voice."""
-    near = vectors.within(predicates.select("id", "vec"), threshold, key="id", vec="vec")
-    voice = predicates.select("id", T.is_inverse_voice("predicate").alias("v"))
-    both = near.join(voice.withColumnsRenamed({"id": "i", "v": "vi"}), "i").join(voice.withColumnsRenamed({"id": "j", "v": "vj"}), "j")
-    return both.where("vi = vj").select(F.col("i").alias("a"), F.col("j").alias("b"), "sim")
+    # pairs are of one voice where they are made, so they are never joined
+    voiced = predicates.select("id", "vec", T.is_inverse_voice("predicate").alias("voice"))
+    return vectors.within(voiced, threshold, key="id", vec="vec", tag="voice").select(F.col("i").alias("a"), F.col("j").alias("b"), "sim")
 
 
 def entailed_pairs(pairs: DataFrame, predicates: DataFrame, scorer: EntailmentScorer = TermEntailment(), floor: float = 0.5) -> DataFrame:
