@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.config import Ranking, Retrieval
 from corpusflow.functions import text as T
+from corpusflow.operators.components import stored
 
 
 def terms(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -19,9 +20,16 @@ def term_freq(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return terms(docs, text, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def own_terms(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, term): each different term of each key once. A text's own repeats go where it is read; only where rows share a key is anything shuffled for it."""
+    flat = docs.select(key, F.explode_outer(F.array_distinct(T.tokens(text))).alias("term")).where("term IS NOT NULL")
+    alone = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return flat if alone else flat.distinct()
+
+
 def doc_freq(tf: DataFrame, n_docs: int, key: str = "doc_id") -> DataFrame:
     """(term, df, idf) with idf ln((N - df + .5) / (df + .5) + 1)."""
-    df = tf.groupBy("term").agg(F.count(key).alias("df"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
@@ -64,22 +72,23 @@ def bm25_squared(docs: DataFrame, query: list[str], c: Retrieval = Retrieval())
 def novelty(docs: DataFrame) -> DataFrame:
     """Mean idf of a document's distinct terms that occur in two documents or more; 0 if none does."""
     n = docs.count()
-    tf = term_freq(docs)
-    idf = doc_freq(tf, n).where("df >= 2")
-    got = tf.join(idf, "term").groupBy("doc_id").agg(F.avg("idf").alias("novelty"))
+    own = stored(own_terms(docs))
+    # terms of a partition are hashed, so the documents' are not sorted
+    idf = doc_freq(own, n).where("df >= 2").hint("shuffle_hash")
+    got = own.join(idf, "term").groupBy("doc_id").agg(F.avg("idf").alias("novelty"))
     return docs.select("doc_id").join(got, "doc_id", "left").select("doc_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
 
 
 def top_terms(docs: DataFrame, k: int = 20) -> DataFrame:
     """The k terms of highest idf times df; ties in alphabetical order."""
-    return doc_freq(term_freq(docs), docs.count()).select("term", (F.col("idf") * F.col("df")).alias("score")).orderBy(F.desc("score"), "term").limit(k)
+    return doc_freq(own_terms(docs), docs.count()).select("term", (F.col("idf") * F.col("df")).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
 def group_keywords(docs: DataFrame, group: str, k: int = 20) -> DataFrame:
     """(group, rank, term, score): terms of highest tf times idf within each group of documents."""
     n = docs.count()
-    tf = term_freq(docs)
-    idf = doc_freq(tf, n)
-    scored = tf.join(docs.select("doc_id", group), "doc_id").groupBy(group, "term").agg(F.sum("tf").alias("tf")).join(idf, "term").withColumn("score", F.col("tf") * F.col("idf"))
+    idf = doc_freq(own_terms(docs), n)
+    # a group's terms are counted where its texts are read; counts of documents are never made
+    scored = terms(docs, key=group).groupBy(group, "term").agg(F.count("*").alias("tf")).join(idf, "term").withColumn("score", F.col("tf") * F.col("idf"))
     w = Window.partitionBy(group).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(group, "rank", "term", "score")
