@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,26 @@ def components(links: DataFrame) -> DataFrame:
         last, e = now, stored(_small(_large(e)))
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+#: Bits of ``maybe_in``: 524,288 words of 64, whatever the number of keys.
+BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, name: str = "maybe", column: str | None = None) -> DataFrame:
+    """Rows with a flag ``name``: false only where ``column`` (that of the key, if not given) is none of ``keys``' values, which are numbers or strings.
+
+    Each key sets one of ``BITS`` bits, whose words are broadcast: what no bit
+    is set for goes into no join, so neither a wide row nor a frequent value is
+    shuffled for it. A null is in nothing.
+    """
+
+    def bit(frame: DataFrame, c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c) if frame.schema[c].dataType.typeName() == "string" else F.col(c).cast("long")), F.lit(BITS))
+
+    column = column or key
+    at = keys.where(F.col(key).isNotNull()).select(bit(keys, key).alias("_bit"))
+    words = at.groupBy(F.shiftright("_bit", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_word"))
+    rows = rows.withColumn("_bit", bit(rows, column)).withColumn("_place", F.shiftright("_bit", 6)).join(F.broadcast(words), F.col("_place") == F.col("_at"), "left")
+    is_set = F.expr("shiftrightunsigned(_word, cast(_bit & 63 as int)) & 1") == 1
+    return rows.withColumn(name, F.coalesce(is_set, F.lit(False)) & F.col(column).isNotNull()).drop("_bit", "_place", "_at", "_word")
