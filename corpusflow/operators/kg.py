@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from corpusflow.config import GraphFacts
 from corpusflow.functions import text as T
-from corpusflow.operators.components import components, stored
+from corpusflow.operators.components import components, maybe_in, stored
 
 
 def token_triples(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -23,7 +23,20 @@ def token_triples(docs: DataFrame, text: str = "text") -> DataFrame:
     # a text's own repeats go before anything is shuffled; terms hold no blank
     pairs = F.expr("CASE WHEN size(t) > 1 THEN array_distinct(transform(sequence(0, size(t) - 2), i -> concat(t[i], ' ', t[i + 1]))) END")
     flat = docs.select("doc_id", T.tokens(text).alias("t")).select("doc_id", F.explode_outer(pairs).alias("x")).where("x IS NOT NULL")
-    return flat.select(F.split_part("x", F.lit(" "), F.lit(1)).alias("s"), F.lit("precedes").alias("p"), F.split_part("x", F.lit(" "), F.lit(2)).alias("o"), "doc_id")
+    return flat.select(F.substring_index("x", " ", 1).alias("s"), F.lit("precedes").alias("p"), F.substring_index("x", " ", -1).alias("o"), "doc_id")
+
+
+def token_mentions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(name, doc_id) of the ends of ``token_triples``, each once for each document: the terms of texts of two or more."""
+    t = docs.select("doc_id", T.tokens(text).alias("t")).where("size(t) > 1")
+    flat = t.select(F.explode(F.array_distinct("t")).alias("name"), "doc_id")
+    alone = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return flat if alone else flat.distinct()
+
+
+def names(triples: DataFrame) -> DataFrame:
+    """(name,): each subject and object once."""
+    return triples.select(F.explode(F.array("s", "o")).alias("name")).distinct()
 
 
 def name_counts(triples: DataFrame) -> DataFrame:
@@ -34,7 +47,8 @@ def name_counts(triples: DataFrame) -> DataFrame:
 
 def entity_clusters(counts: DataFrame) -> DataFrame:
     """(member, rep) of groups of two names or more with one resolution key: the most used, shortest, first name stands for all."""
-    keyed = counts.withColumn("key", T.resolution_key("name")).where("key <> ''")
+    # counted once: groups and members both read it
+    keyed = stored(counts.withColumn("key", T.resolution_key("name")).where("key <> ''"))
     groups = keyed.groupBy("key").agg(F.min_by("name", F.struct(-F.col("n"), F.length("name"), "name")).alias("rep"), F.count("*").alias("k")).where("k > 1")
     return keyed.join(groups, "key").select(F.col("name").alias("member"), "rep")
 
@@ -42,8 +56,10 @@ def entity_clusters(counts: DataFrame) -> DataFrame:
 def apply_merge(triples: DataFrame, entities: DataFrame, predicates: DataFrame | None = None) -> DataFrame:
     """Triples with names replaced by their representatives; repeated ones per document collapse."""
     m = entities.select("member", "rep")
-    out = triples.join(m.select(F.col("member").alias("s"), F.col("rep").alias("s2")), "s", "left").join(m.select(F.col("member").alias("o"), F.col("rep").alias("o2")), "o", "left")
-    out = out.select(F.coalesce("s2", "s").alias("s"), "p", F.coalesce("o2", "o").alias("o"), "doc_id")
+    at = maybe_in(maybe_in(triples.select("s", "p", "o", "doc_id"), m, "member", "_s", "s"), m, "member", "_o", "o")
+    # most names stand for themselves: their triples, however frequent a name is, are not shuffled to look for it
+    some = at.where("_s OR _o").join(m.select(F.col("member").alias("s"), F.col("rep").alias("s2")), "s", "left").join(m.select(F.col("member").alias("o"), F.col("rep").alias("o2")), "o", "left")
+    out = at.where("NOT (_s OR _o)").select("s", "p", "o", "doc_id").unionByName(some.select(F.coalesce("s2", "s").alias("s"), "p", F.coalesce("o2", "o").alias("o"), "doc_id"))
     if predicates is not None:
         out = out.join(predicates.select(F.col("member").alias("p"), F.col("rep").alias("p2")), "p", "left").select("s", F.coalesce("p2", "p").alias("p"), "o", "doc_id")
     return out.distinct()
@@ -62,7 +78,8 @@ def merge_stats(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def provenance(triples: DataFrame) -> DataFrame:
     """(s, p, o, doc_ids): each triple once with the sorted documents that state it; a list is as long as its triple is frequent."""
-    return triples.groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    # dealt out first, once: sets of the documents of one task only would be larger than the rows
+    return triples.repartition("s", "o").groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
 def fold_clusters(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -96,12 +113,15 @@ def prune(triples: DataFrame, ends: dict[str, tuple[str, ...]]) -> DataFrame:
             part = triples.where(F.col("p") == p).select(F.col(side).alias("name"))
             gone = part if gone is None else gone.unionByName(part)
     gone = gone.distinct()
-    return triples.join(gone.withColumnRenamed("name", "s"), "s", "left_anti").join(gone.withColumnRenamed("name", "o"), "o", "left_anti").select("s", "p", "o", "doc_id")
+    at = maybe_in(maybe_in(triples.select("s", "p", "o", "doc_id"), gone, "name", "_s", "s"), gone, "name", "_o", "o")
+    # a frequent name that surely stays is not gathered in one task
+    some = at.where("_s OR _o").join(gone.withColumnRenamed("name", "s"), "s", "left_anti").join(gone.withColumnRenamed("name", "o"), "o", "left_anti")
+    return at.where("NOT (_s OR _o)").select("s", "p", "o", "doc_id").unionByName(some.select("s", "p", "o", "doc_id"))
 
 
 def isolated(entities: DataFrame, triples: DataFrame) -> DataFrame:
     """(name,) of entities in no relation."""
-    return entities.select("name").distinct().join(name_counts(triples), "name", "left_anti")
+    return entities.select("name").distinct().join(names(triples), "name", "left_anti")
 
 
 def clean(triples: DataFrame, junk: DataFrame, titles: DataFrame | None = None) -> DataFrame:
@@ -116,7 +136,12 @@ def clean(triples: DataFrame, junk: DataFrame, titles: DataFrame | None = None)
 
 def entity_df(triples: DataFrame) -> DataFrame:
     """(name, df): documents that state a relation of the entity."""
-    return triples.select(F.explode(F.array("s", "o")).alias("name"), "doc_id").distinct().groupBy("name").agg(F.count("*").alias("df"))
+    return mention_df(triples.select(F.explode(F.array("s", "o")).alias("name"), "doc_id").distinct())
+
+
+def mention_df(mentions: DataFrame) -> DataFrame:
+    """(name, df) of different (name, doc_id)."""
+    return mentions.groupBy("name").agg(F.count("*").alias("df"))
 
 
 def _docs_of(triples: DataFrame, names: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def distinct_ordered(spark, d):
 @query(f"WITH {_TRI}, c AS (SELECT s, p, o, doc_id FROM tri WHERE s < o), m AS (SELECT DISTINCT CASE WHEN s LIKE 'th%' THEN substr(s, 3) ELSE s END AS s, p, CASE WHEN o LIKE 'th%' THEN substr(o, 3) ELSE o END AS o, doc_id FROM c) SELECT (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM c)) AS relations_before, (SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM m)) AS relations_after, (SELECT count(*) FROM (SELECT s FROM c UNION SELECT o FROM c)) AS entities_before, (SELECT count(*) FROM (SELECT s FROM m UNION SELECT o FROM m)) AS entities_after, 1::BIGINT AS predicates_before, 1::BIGINT AS predicates_after")
 def merge_counters(spark, d):
     tri = stored(kg.token_triples(t(spark, d, "documents")).where("s < o"))
-    m = kg.name_counts(tri).where("name LIKE 'th%'").select(F.col("name").alias("member"), F.expr("substr(name, 3)").alias("rep"))
+    m = kg.names(tri).where("name LIKE 'th%'").select(F.col("name").alias("member"), F.expr("substr(name, 3)").alias("rep"))
     return kg.merge_stats(tri, kg.apply_merge(tri, m))
 
 
